@@ -48,7 +48,7 @@ def source_rates(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: flo
     share = F.sum("source_size").over(whole) * F.lit(float(budget)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     level = share / F.sum("weight").over(after)
     rated = rated.withColumn("level", level).withColumn("is_capped", F.col("cap") <= F.col("level") * F.col("weight"))
-    common = F.min(F.when(~F.col("is_capped"), F.col("level"))).over(whole)
+    common = F.max(F.when(~F.col("is_capped"), F.col("level"))).over(whole)
     rated = rated.withColumn("target", F.when(F.col("is_capped"), F.col("cap")).otherwise(common * F.col("weight")))
     return rated.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
 
