@@ -1,10 +1,50 @@
-"""The corpus pipeline: toxicity, near-dedup, decontamination, mixing and sharding over `documents`."""
+"""The corpus pipeline: toxicity, near-dedup, decontamination, mixing and sharding over `documents`.
+
+Every stage takes (spark, docs, sf_dir) and all rows that its predecessor kept. All but the
+last return the columns of `docs`; the last adds shard and slot.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from turnweave.llm import bagminhash, decontam, mixing, sharding, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model scores at its threshold or above go."""
+    model = toxicity.train_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.where(scored["__tw_score"] < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return bagminhash.dedup(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark window go."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's rate and its draw say."""
+    return mixing.mix(docs)
+
+
+def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row of the mixture with its shard and slot."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixing", mix_sources),
+    ("sharding", place_in_shards),
+]
 
 #: The toxicity model has no SQL form; tests hold the pipeline against plain Python versions of its stages.
 ORACLE_SQL = None
