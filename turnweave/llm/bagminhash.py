@@ -166,10 +166,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 
 def _star(buckets: DataFrame, leader: str) -> DataFrame:
-    """(key, leader, node, n, leader_n) for every other member of each bucket of two or more texts."""
-    heads = buckets.groupBy("key").agg(F.expr(f"min_by(struct(node, n), {leader})").alias("h"), F.count("*").alias("members")).where("members > 1")
-    heads = materialise(heads.select("key", F.col("h.node").alias("leader"), F.col("h.n").alias("leader_n")), "bagminhash-heads")
-    return buckets.join(heads, "key").where("node <> leader")
+    """Every other member of each bucket of two or more texts, beside the bucket's leader (the least by `leader`)."""
+    row = "struct(node, n, component)" if "component" in buckets.columns else "struct(node, n)"
+    heads = buckets.groupBy("key").agg(F.expr(f"min_by({row}, {leader})").alias("h"), F.count("*").alias("members")).where("members > 1")
+    heads = heads.select("key", F.expr("h.node").alias("leader"), *[F.expr(f"h.{c}").alias(f"leader_{c}") for c in buckets.columns if c in ("n", "component")])
+    return buckets.join(materialise(heads, "bagminhash-heads"), "key").where("node <> leader")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
@@ -179,7 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. In each band bucket every member is verified against one leader (no all pairs).
     3. Where a bucket has members that its leader does not match, they and those matched
        members that the triangle inequality of the Jaccard distance leaves within reach
-       meet again in buckets keyed by two bands, with leaders drawn anew per bucket.
+       meet again in buckets keyed by two bands, with leaders drawn anew per bucket; only
+       pairs that step 2 has not joined already are verified.
     4. Classes are the connected components of the verified links.
     With 26 bands of 5 slots a pair of similarity 0.8 misses step 2 with a probability of 3e-5.
     """
@@ -203,21 +205,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return materialise(found.select("node", "text").dropDuplicates(["node"]), "bagminhash-texts")
 
     sims = materialise(_verified(asked, texts_of(asked), size), "bagminhash-sims")
+    linked = components(sims.where(F.col("sim") >= threshold).select("a", "b"), "bagminhash-first")
     known = sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim")
     reach = members.join(known, ["leader", "node"], "left").select("key", "node", "n", F.coalesce("sim", "bound").alias("sim"))
+    reach = reach.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = reach.where(F.col("sim") < threshold).groupBy("key").agg(F.max("sim").alias("nearest"))
     again = reach.join(materialise(open_keys, "bagminhash-open"), "key")
     again = again.where((F.col("sim") < threshold) | ((1 - F.col("sim")) >= (1 - F.col("nearest")) - (1 - threshold)))
-    keys = again.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("key")).alias("keys")).where("size(keys) > 1")
+    keys = again.groupBy("node", "component").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("key")).alias("keys")).where("size(keys) > 1")
     double = F.expr("explode(flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y)))))")
-    second = _star(materialise(keys.select("node", "n", double.alias("key")), "bagminhash-second"), "xxhash64(node, key)")
+    double = materialise(keys.select("node", "component", "n", double.alias("key")), "bagminhash-second")
+    second = _star(double, "xxhash64(node, key)").where("component <> leader_component")
     second = second.where(F.least("n", "leader_n") / F.greatest("n", "leader_n") >= threshold)
     more = second.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     more = materialise(more.join(sims.select("a", "b"), ["a", "b"], "left_anti"), "bagminhash-pairs")
-    links = sims.where(F.col("sim") >= threshold).select("a", "b")
     if more.limit(1).count():
-        links = links.unionByName(_verified(more, texts_of(more), size).where(F.col("sim") >= threshold).select("a", "b"))
-    linked = components(materialise(links, "bagminhash-links"), "bagminhash")
+        links = _verified(more, texts_of(more), size).where(F.col("sim") >= threshold).select("a", "b")
+        links = links.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        linked = components(materialise(links, "bagminhash-links"), "bagminhash")
 
     joined = nodes.select("node", "head").join(linked, "node")
     heads = joined.groupBy("component").agg(F.min("head").alias("class_head"))
