@@ -7,7 +7,7 @@ into cells around sampled pivots, every node going to its nearest pivot and, as
 to the next ones. In a cell, overlapping k-means shards are linked by robust pruning
 (a candidate is dropped when a chosen neighbour is `ALPHA` times nearer to it) and the
 shards' adjacency lists are united into one flat graph. Every node of the cell then
-searches it greedily with a beam from the shard medoids and expands the range: nodes
+searches it greedily with a beam from the shard medoids and its own place and expands the range: nodes
 within reach are followed until none is new. Recall is audited in every cell against
 brute force for the nodes whose hash is divisible by 50; while it is below `AUDIT`, the
 search is repeated with a wider beam and reach. Links are verified, so none lies below
@@ -35,7 +35,7 @@ CELL_MAX = 8192
 GUEST_CELLS = 2
 MAX_PIVOTS = 65536
 SHARD, SHARD_MAX, OVERLAP = 512, 2048, 2
-DEGREE, CANDIDATES, ALPHA = 24, 96, 1.2
+DEGREE, NEAREST, CANDIDATES, ALPHA = 24, 8, 96, 1.44  # of 1 - cosine: 1.2 of the distance
 BEAM, SLACK, AUDIT = 32, 0.02, 0.995
 BLOCK = 512
 
@@ -80,7 +80,12 @@ def _robust_prune(sim: np.ndarray) -> np.ndarray:
     cand = np.take_along_axis(cand, np.argsort(-near[rows[:, None], cand], axis=1, kind="stable"), axis=1)
     far = 1 - near[rows[:, None], cand]
     open_ = np.ones((n, c), bool)
-    for r in range(DEGREE):
+    kept = min(NEAREST, c)  # the nearest stay unpruned, or dense groups would fall into islands
+    out[:, :kept] = cand[:, :kept]
+    open_[:, :kept] = False
+    for k in range(kept):
+        open_ &= ALPHA * (1 - sim[cand[:, k, None], cand]) > far
+    for r in range(kept, DEGREE):
         some = open_.any(axis=1)
         if not some.any():
             break
@@ -130,15 +135,17 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, quer
     v = x[queries]
     seen = np.zeros((q, n), bool)
     rows = np.arange(q)
-    start = min(beam, len(entries), 8)
+    start = min(beam - 1, len(entries), 8)
     sims = v @ x[entries].T
     best = np.argsort(-sims, axis=1)[:, :start]
     ids = np.full((q, beam), -1)
     val = np.full((q, beam), -np.inf)
     ids[:, :start], val[:, :start] = entries[best], np.take_along_axis(sims, best, axis=1)
-    done = np.zeros((q, beam), bool)
-    done[ids < 0] = True
-    seen[rows[:, None], entries[best]] = True
+    own = (ids[:, :start] != queries[:, None]).all(axis=1)  # the query's own node is an entry besides the medoids
+    ids[own, start], val[own, start] = queries[own], 1.0
+    start += 1
+    done = ids < 0
+    seen[np.repeat(rows, start)[ids[:, :start].ravel() >= 0], ids[:, :start].ravel()[ids[:, :start].ravel() >= 0]] = True
     close_q, close_n = [], []  # everything met within reach, also what leaves the beam
     reach = threshold - slack
 
@@ -175,9 +182,10 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, quer
         found[fq[hit], fn[hit]] = True
         nb = adjacency[fn]
         r, c = np.nonzero((nb >= 0) & ~seen[fq[:, None], nb])
-        keys = np.unique(fq[r] * n + nb[r, c])
-        fq, fn = keys // n, keys % n
-        seen[fq, fn] = True
+        fresh = np.zeros((q, n), bool)
+        fresh[fq[r], nb[r, c]] = True
+        fq, fn = np.nonzero(fresh)
+        seen |= fresh
         near = np.einsum("ij,ij->i", v[fq], x[fn]) >= reach if len(fq) else np.zeros(0, bool)
         fq, fn = fq[near], fn[near]
     found[rows, queries] = False
