@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_SAMPLE = 6000
-MAX_SAMPLE_CHARS = 40_000_000
+MAX_SAMPLE = 4000
+MAX_SAMPLE_CHARS = 8_000_000
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:

@@ -29,11 +29,11 @@ from turnweave.llm.labelled import id_remainder, sample
 
 CHAIN = 64
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 THRESHOLD = 0.7
 HOLD_OUT = (3, 1)  # rows with crc32(doc_id) mod 3 = 1 are never learnt from
-MIN_DOCS, MIN_RATIO = 3, 12.0
-ROUNDS = 60
+MIN_DOCS, MIN_SHARE = 3, 0.6
+ROUNDS = 40
 
 
 @dataclass
@@ -45,6 +45,24 @@ class Model:
     prior: float
 
 
+@dataclass
+class _Places:
+    """Of all training words: their document and each document's number of words."""
+
+    doc: np.ndarray
+    count: np.ndarray
+    n_docs: int
+
+
+def _featured(texts: pd.Series) -> tuple[_Places, np.ndarray]:
+    """Places and features of the words of `texts`, made slice by slice."""
+    doc, count, feats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(PREFIXES)), np.int32)]
+    for start, _, held in chunks(texts, 1 << 20):
+        words = Words(held)
+        doc.append(words.doc + start), count.append(words.count), feats.append(features(words))
+    return _Places(np.concatenate(doc), np.concatenate(count), len(texts)), np.concatenate(feats)
+
+
 def features(words: Words) -> np.ndarray:
     """(words, 1 + len(PREFIXES)) feature buckets; bucket 0 stands for "word shorter than the prefix"."""
     length = words.end - words.start
@@ -57,7 +75,7 @@ def features(words: Words) -> np.ndarray:
     return out
 
 
-def _chains(words: Words, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chains(words: Words | _Places, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per-word values as a (chains, CHAIN) matrix, the mask of real words, and each word's flat place."""
     first = np.concatenate([[0], np.cumsum(words.count)])[:-1]
     place = np.arange(len(values)) - first[words.doc]
@@ -70,7 +88,16 @@ def _chains(words: Words, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return matrix.reshape(n, CHAIN), mask.reshape(n, CHAIN), flat
 
 
-def marginals(emit: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(emit: np.ndarray, mask: np.ndarray, moves: np.ndarray, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """`_marginals` over blocks of chains, which stay in the cache."""
+    p, counts = np.zeros(emit.shape), np.zeros((2, 2))
+    for i in range(0, len(emit), block):
+        p[i : i + block], c = _marginals(emit[i : i + block], mask[i : i + block], moves)
+        counts += c
+    return p, counts
+
+
+def _marginals(emit: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward: P(tag = 1) of each word and the expected transition counts (2, 2).
 
     `emit` is the score of tag 1 against tag 0. Padding stands at the end of a chain, where
@@ -109,21 +136,27 @@ def marginals(emit: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> tuple[np
     return p, counts
 
 
-def _induced(words: Words, feats: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def _induced(words: Words | _Places, feats: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Word labels from document labels: 1 where a feature is far more common in toxic documents."""
-    pairs = np.unique(words.doc[:, None].astype(np.int64) * BUCKETS + feats, axis=None)
-    doc, bucket = pairs // BUCKETS, pairs % BUCKETS
-    n_toxic = np.bincount(bucket, weights=toxic[doc], minlength=BUCKETS)
-    n_clean = np.bincount(bucket, weights=1 - toxic[doc], minlength=BUCKETS)
-    ratio = (n_toxic + 0.2) / max(1, toxic.sum()) / ((n_clean + 0.2) / max(1, (1 - toxic).sum()))
-    telling = (n_toxic >= MIN_DOCS) & (ratio >= MIN_RATIO)
+    n_toxic, n_clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for column in feats.T:  # one kind of feature at a time keeps the pairs of (document, feature) small
+        pairs = np.unique(words.doc * BUCKETS + column)
+        doc, bucket = pairs // BUCKETS, pairs % BUCKETS
+        n_toxic += np.bincount(bucket, weights=toxic[doc], minlength=BUCKETS)
+        n_clean += np.bincount(bucket, weights=1 - toxic[doc], minlength=BUCKETS)
+    n = n_toxic + n_clean
+    share, prior = n_toxic / np.maximum(n, 1), toxic.mean()
+    # Chernoff's bound on such a share by chance, for as many features as were seen
+    with np.errstate(divide="ignore", invalid="ignore"):
+        surprise = n * (share * np.log(share / prior) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - prior)), 0))
+    telling = (n_toxic >= MIN_DOCS) & (share >= MIN_SHARE) & (np.nan_to_num(surprise) >= np.log((n > 0).sum() + 1))
     telling[0] = False
     return telling[feats].any(axis=1) & (toxic[words.doc] == 1)
 
 
-def _summary(words: Words, p: np.ndarray) -> np.ndarray:
+def _summary(words: Words | _Places, p: np.ndarray) -> np.ndarray:
     n = words.n_docs
-    total = np.bincount(words.doc, weights=p, minlength=n)
+    total = np.bincount(words.doc, weights=np.where(p >= 0.2, p, 0), minlength=n)  # the background of long texts does not add up
     top = np.zeros(n)
     np.maximum.at(top, words.doc, p)
     return np.stack([np.ones(n), np.log1p(total), top, total / np.maximum(words.count, 1), np.minimum(total, 3)], axis=1)
@@ -147,9 +180,7 @@ def fit(train: pd.DataFrame, rounds: int = ROUNDS) -> Model:
     model = Model(np.zeros(BUCKETS, np.float64), -4.0, np.zeros((2, 2)), np.array([np.log((prior + 1e-4) / (1 - prior + 1e-4)), 0, 0, 0, 0.0]), prior)
     if prior in (0.0, 1.0) or not len(toxic):
         return model
-    texts = [t.encode("utf-8", "surrogatepass") for t in train["text"]]
-    words = Words(texts)
-    feats = features(words)
+    words, feats = _featured(train["text"])
     y = _induced(words, feats, toxic).astype(float)
     known = np.zeros(BUCKETS, bool)  # other features keep weight 0
     known[feats[y == 1]] = True
@@ -175,17 +206,32 @@ def fit(train: pd.DataFrame, rounds: int = ROUNDS) -> Model:
         model.weights += step_w
         model.bias += step_b
         model.moves += step_m
-    p = word_probabilities(words, model)
-    x = _summary(words, p)
-    balance = np.where(toxic == 1, 0.5 / prior, 0.5 / (1 - prior)) * 0.5 + 0.5
-    for _ in range(40):  # Newton's method with a small ridge
-        q = 1 / (1 + np.exp(-np.clip(x @ model.last, -30, 30)))
-        grad = x.T @ (balance * (toxic - q)) - 0.5 * model.last
-        hess = (x * (balance * q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(x.shape[1])
-        model.last = model.last + np.linalg.solve(hess, grad)
+    emit, _, _ = _chains(words, model.bias + np.bincount(word_i, weights=model.weights[bucket_i], minlength=len(y)))
+    x = _summary(words, marginals(emit, mask, model.moves)[0].reshape(-1)[flat])
+    model.last = _logistic(x, toxic)
     return model
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Ridge logistic regression by Newton's method with step halving."""
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * ridge * (w @ w))
+
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (y - q) - ridge * w
+        hess = (x * (q * (1 - q))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step, now, size = np.linalg.solve(hess, grad), loss(w), 1.0
+        while loss(w + size * step) > now and size > 1e-6:
+            size /= 2
+        w = w + size * step
+        if size * np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
 def train_model(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
     """Fit on a bounded sample of labelled documents outside the hold-out."""
     modulus, held = HOLD_OUT
