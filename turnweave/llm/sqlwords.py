@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Character classes for Java regular expressions over texts in either case.
-IN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-OUT_OF_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: Character classes for Java regular expressions over texts in either case; plain ranges match several times faster than their complements.
+IN_WORD = r"[a-zA-Z0-9\x80-\x{10FFFF}]"
+OUT_OF_WORD = r"[^a-zA-Z0-9\x80-\x{10FFFF}]"
 WORD = IN_WORD + "+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
