@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnweave.llm import bagminhash, decontam, licenses, mixing, quality, secretscan, sharding, toxicity, vecgraph, warc
 from turnweave.llm.labelled import id_remainder
+from turnweave.llm.oracles import ORACLES
 from turnweave.llm.rowkeys import ID
 
 
@@ -113,4 +114,5 @@ QUERIES = {
         op10_quality,
     )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
