@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnweave.llm.storage import materialise
+
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 CEILING = 2
@@ -63,7 +65,8 @@ def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """`docs` with `size`, `source_size`, `target` and `copies`."""
     sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", size_of(docs[text_col]))
     rates = source_rates(docs.select(docs[source_col].alias("source"), size_of(docs[text_col]).alias("size")), **plan)
-    rates = rates.withColumnsRenamed({"source": "__tw_source", "rate": "__tw_rate"})
+    # a table of known size: few sources are broadcast and the texts stay where they are; very many are joined by a shuffle
+    rates = materialise(rates.withColumnsRenamed({"source": "__tw_source", "rate": "__tw_rate"}), "mixing-rates")
     joined = sized.join(rates, sized[source_col].eqNullSafe(rates["__tw_source"]), "left")
     whole = F.floor("__tw_rate")
     copies = (whole + (draw(F.col(id_col), seed) < F.col("__tw_rate") - whole).cast("int")).cast("int")
