@@ -180,6 +180,13 @@ def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.stats_json(conversations.corpus_stats(lib, episodes.windows(lib)))
 
 
+@query
+def scan_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, value) metadata of the collection."""
+    totals = collection_totals(spark, sf_dir)
+    return totals.select(F.explode(F.create_map(*[x for c in totals.columns for x in (F.lit(c), F.col(c))])).alias("key", "value"))
+
+
 # --- Sinks -------------------------------------------------------------------------------
 
 
@@ -728,7 +735,7 @@ def sw_best_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sw_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw score of the aligned function's best alignment; equals the expression's."""
+    """Length, sequence agreement and coverage of the best alignment without edges."""
     done = align.aligned(_aligned_pairs(spark, sf_dir), False, ("episode_id",))
     return done.select("episode_id", F.size("pairs").alias("aligned"), *_r6("sequence", "coverage"))
 

@@ -141,6 +141,8 @@ _STATS_JSON = """SELECT corpus, '{"conversations":' || conversations || ',"edges
 ORACLES["scan_stats"] = ORACLES["sink_stats"] = STATS + _STATS_JSON
 ORACLES["corpus_stats"] = STATS + "SELECT * FROM cst"
 ORACLES["collection_totals"] = STATS + "SELECT sum(conversations)::BIGINT AS conversations, sum(turns)::BIGINT AS turns, sum(edges)::BIGINT AS edges, sum(nonadjacent)::BIGINT AS nonadjacent, sum(episodes)::BIGINT AS episodes FROM cst"
+ORACLES["scan_meta"] = STATS + """SELECT unnest(['conversations', 'turns', 'edges', 'nonadjacent', 'episodes']) AS key,
+  unnest([sum(conversations)::BIGINT, sum(turns)::BIGINT, sum(edges)::BIGINT, sum(nonadjacent)::BIGINT, sum(episodes)::BIGINT]) AS value FROM cst"""
 ORACLES["sink_index"] = STATS + """SELECT 'conversations' AS name, count(*) AS n FROM convs UNION ALL SELECT 'turns', count(*) FROM turns UNION ALL SELECT 'edges', count(*) FROM edges
 UNION ALL SELECT 'episodes', count(*) FROM eps UNION ALL SELECT 'stats', count(*) FROM cst"""
 ORACLES["sink_atlas"] = DESC + "SELECT corpus, count(*) AS n, sum(flags)::BIGINT AS flags FROM d GROUP BY 1"
@@ -167,6 +169,9 @@ ORACLES["jitter"] = DESC + f"SELECT episode_id, round({_JX}::DOUBLE, 6) AS jx, r
 ORACLES["color_bins"] = DESC + """SELECT episode_id, least(speakers, 4)::INT AS speakers_bin, CASE WHEN reach IS NULL THEN 0 WHEN reach <= 1 THEN 1 WHEN reach <= 2 THEN 2 WHEN reach <= 4 THEN 3 ELSE 4 END AS reach_bin,
   CASE WHEN known < 0.1 THEN 0 WHEN known < 0.5 THEN 1 WHEN known < 0.9 THEN 2 ELSE 3 END AS known_bin FROM d"""
 
+ORACLES["compact_num"] = """SELECT o_orderkey, CASE WHEN v >= 1000000 THEN format('{:,.1f}', round(v / 1000000, 1)) || 'M' WHEN v >= 1000 THEN format('{:,.1f}', round(v / 1000, 1)) || 'K' ELSE v::VARCHAR END AS shown
+FROM (SELECT o_orderkey, o_orderkey * o_orderkey AS v FROM orders)"""
+
 # --- Filters -----------------------------------------------------------------------------
 
 _FACET = "SELECT c.conv_id AS id, turns AS nturns, speakers AS nspeakers, nonadjacent FROM convs c JOIN gs USING (conv_id) WHERE "
