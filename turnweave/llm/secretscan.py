@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.llm.rowkeys import HASH, ID, with_key
+from turnweave.llm.storage import materialise
 
 
 @dataclass(frozen=True)
@@ -224,14 +225,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
     The candidates join by (id, text hash), so copies of one text do not meet in a task.
     """
-    found = candidates(trigram_postings(docs, rules, id_col, text_col), rules).withColumnsRenamed({ID: "__tw_cid", HASH: "__tw_chash"})
+    found = candidates(trigram_postings(docs, rules, id_col, text_col), rules).withColumnsRenamed({ID: "__tw_cid", HASH: "__tw_chash", "kinds": "__tw_kinds"})
+    found = materialise(found, "secret-candidates")  # of known size: broadcast while small, and then texts are not shuffled
     keyed = docs.select("*", *with_key(docs, id_col, text_col))
     joined = keyed.join(found, (keyed[HASH] == found["__tw_chash"]) & keyed[ID].eqNullSafe(found["__tw_cid"]), "left")
     none = F.array().cast(NO_SPANS)
     spans = []
     for order, rule in enumerate(rules):
         text = F.col(text_col)
-        asked = F.array_contains("kinds", rule.kind) if trigram_query(rule.pattern, rule.folded) else F.lit(True)
+        asked = F.array_contains("__tw_kinds", rule.kind) if trigram_query(rule.pattern, rule.folded) else F.lit(True)
         spans.append(F.when(asked & text.rlike(java_pattern(rule)), _spans(text, rule, order)).otherwise(none))
     every = F.array_sort(F.concat(*spans))
     return joined.withColumn("secret_spans", every).select(*[c for c in docs.columns if c != "secret_spans"], "secret_spans")
