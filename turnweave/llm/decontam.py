@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from turnweave.llm.rowkeys import HASH, ID, with_key
 from turnweave.llm.sqlwords import WORD, let, word_count, words
+from turnweave.llm.storage import materialise
 
 N = 10
 BROADCAST_BYTES = 64 << 20
@@ -55,7 +56,7 @@ def hits(docs: DataFrame, items: DataFrame, n: int = N, id_col: str = "doc_id",
         F.sort_array(F.collect_set(F.struct("pos", (F.col("pos") + F.col("len")).alias("end")))).alias("runs"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
-    return found
+    return materialise(found, "decontam-hits")  # of known size: broadcast while small, and then texts are not shuffled
 
 
 def covered(runs: Column) -> Column:
