@@ -20,7 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = LOCAL_DEFAULT
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return qualified(spark, found.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` with the scheme of its file system, so that Spark and other readers mean the same place."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
