@@ -117,3 +117,10 @@ def evidence(lib: Library, conv_id: str) -> DataFrame:
     """(badge): the distinct annotations and provenances of a conversation."""
     of = F.col("conv_id") == conv_id
     return lib.turns.where(of).select(F.col("annotation").alias("badge")).union(lib.edges.where(of).select("provenance")).distinct()
+
+
+def valid_windows(requests: DataFrame, lib: Library, most: int = 24) -> DataFrame:
+    """`requests` (conv_id, start, stop) with `valid`: 1 to `most` turns inside the conversation; an unknown one is invalid."""
+    n = lib.turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    inside = F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("stop")) & (F.col("stop") <= F.col("n")) & (F.col("stop") - F.col("start") <= most), F.lit(False))
+    return requests.join(n, "conv_id", "left").select("conv_id", "start", "stop", inside.alias("valid"))

@@ -24,7 +24,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__.removesuffix("_")] = f  # a trailing underscore avoids a module's name
     return f
 
 
@@ -162,6 +162,12 @@ def src_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns_out(adapters.demo(spark)[0])
 
 
+@query
+def src_acquire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and digest of a downloaded file, here the smallest table's."""
+    return adapters.manifest(spark, f"{sf_dir}/region.parquet").select("bytes", "sha256")
+
+
 @query
 def src_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitelisted metadata of conversations, here of customers as (cid, key, value)."""
@@ -337,6 +343,13 @@ def f_min_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facet(spark, sf_dir).where("nturns >= 4")
 
 
+@query
+def f_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the asked windows are valid requests."""
+    asked = _events(spark, sf_dir).selectExpr("concat('threads:', event_id % 2000) AS conv_id", "cast(user_id % 12 - 2 AS INT) AS start", "cast(event_id % 11 AS INT) AS stop").distinct()
+    return conversations.valid_windows(asked, library(spark, sf_dir))
+
+
 @query
 def f_trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library(spark, sf_dir).edges.where(L.trusted("provenance")).select("conv_id", "source", "target", "type")
@@ -650,7 +663,7 @@ def cohort_example(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def bm25_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bm25_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.score(_texts(library(spark, sf_dir)), _asked(spark, *TEXT_QUERIES)).select("query", "doc", *_r6("score"))
 
 
@@ -669,7 +682,7 @@ def safe_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def topk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.ranked(bm25_text(spark, sf_dir), k=24).select("query", "doc", "rank")
+    return evaluate.ranked(bm25_(spark, sf_dir), k=24).select("query", "doc", "rank")
 
 
 @query
@@ -685,7 +698,7 @@ def topk_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def eval_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.ranked(bm25_text(spark, sf_dir)).select("query", "doc", "rank")
+    return evaluate.ranked(bm25_(spark, sf_dir)).select("query", "doc", "rank")
 
 
 @query
@@ -735,14 +748,16 @@ def sw_best_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sw_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length, sequence agreement and coverage of the best alignment without edges."""
-    done = align.aligned(_aligned_pairs(spark, sf_dir), False, ("episode_id",))
-    return done.select("episode_id", F.size("pairs").alias("aligned"), *_r6("sequence", "coverage"))
+    """Raw score of the traceback function's best alignment; the same figure as the expression's."""
+    found = align.alignments(_aligned_pairs(spark, sf_dir), ("episode_id",))
+    return found.where("rank = 1").select("episode_id", F.col("raw").alias("best"))
 
 
 @query
 def sw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sw_local(spark, sf_dir)
+    """Number of distinct alignments and scores of the first and the last of up to twelve."""
+    found = align.alignments(_aligned_pairs(spark, sf_dir), ("episode_id",))
+    return found.groupBy("episode_id").agg(F.max("rank").alias("alignments"), F.max("raw").alias("best"), F.min("raw").alias("last"))
 
 
 @query
@@ -752,7 +767,7 @@ def correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def align_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+def align_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned(_aligned_pairs(spark, sf_dir), True, ("episode_id",)).select("episode_id", *_r6("score"))
 
 

@@ -181,6 +181,8 @@ ORACLES["f_group"] = LIB + _FACET + "speakers >= 3"
 ORACLES["f_variants"] = LIB + _FACET + "corpus = 'chat'"
 ORACLES["f_clarify"] = LIB + _FACET + "corpus = 'threads' AND EXISTS (FROM edges e WHERE e.conv_id = c.conv_id AND e.type = 'Clarification_question')"
 ORACLES["f_min_turns"] = LIB + _FACET + "turns >= 4"
+ORACLES["f_bounds"] = LIB + """SELECT conv_id, start, stop, coalesce(start >= 0 AND start < stop AND stop <= turns AND stop - start <= 24, false) AS valid
+FROM (SELECT DISTINCT 'threads:' || (event_id % 2000) AS conv_id, (user_id % 12 - 2)::INT AS start, (event_id % 11)::INT AS stop FROM events) LEFT JOIN gs USING (conv_id)"""
 ORACLES["f_trusted"] = LIB + "SELECT conv_id, source, target, type FROM trusted"
 ORACLES["f_not_self"] = LIB + "SELECT conv_id, start, stop FROM eps WHERE conv_id <> 'threads:7'"
 ORACLES["f_lens"] = DESC + "SELECT episode_id, flags FROM d WHERE (flags & 5) = 5"
@@ -203,7 +205,7 @@ ranked AS (SELECT query, doc, round(sum(w), 6) AS score FROM ws JOIN qs USING (t
 _TEXT_DOCS = "SELECT conv_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM turns"
 _ASKED = " UNION ALL ".join(f"SELECT '{q}' AS query, unnest({q.split()!r}) AS token" for q in ("error 19 purchase", "the purchase", "view k 42"))
 _TEXT = LIB + _bm25(_TEXT_DOCS, _ASKED)
-ORACLES["bm25_text"] = _TEXT + "SELECT query, doc, score FROM ranked"
+ORACLES["bm25"] = _TEXT + "SELECT query, doc, score FROM ranked"
 _RANKED = "SELECT query, doc, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM ranked) WHERE rank <= "
 ORACLES["topk_text"] = _TEXT + _RANKED + "24"
 ORACLES["eval_rank"] = _TEXT + _RANKED + "10"
@@ -321,6 +323,8 @@ dp AS (SELECT episode_id, c, q, 0 AS i, list_transform(range(0, len(c) + 1), lam
       FROM dp WHERE i < len(q))))
 SELECT episode_id, best FROM dp WHERE i = len(q)"""
 
+ORACLES["sw_local"] = ORACLES["sw_best_raw"]
+
 # --- Graphs ------------------------------------------------------------------------------
 
 _M3 = LIB + """, pr AS (SELECT a.conv_id, list_sort(list_distinct([a.source, a.target, b.source, b.target])) AS nd, a.source AS a1, a.target AS a2, a.type AS atype, b.source AS b1, b.target AS b2, b.type AS btype
