@@ -22,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 26
 ROWS = 5
+VERIFY_BYTES = 1 << 20
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, n_docs: int, slots: int) -> np.ndarray:
@@ -149,20 +152,22 @@ def _overlaps(left: list[bytes], right: list[bytes], size: int) -> np.ndarray:
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """`sim` of each (a, b): exact multiset overlap of the whole texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            held, weight, start = [], 0, 0
-            for i, (x, y) in enumerate(zip(pdf["ta"], pdf["tb"], strict=True)):
-                held.append((x.encode("utf-8", "surrogatepass"), y.encode("utf-8", "surrogatepass")))
-                weight += len(held[-1][0]) + len(held[-1][1])
-                if weight > 2 << 20 or i + 1 == len(pdf):
-                    sim = _overlaps([p for p, _ in held], [q for _, q in held], size)
-                    yield pd.DataFrame({"a": pdf["a"].iloc[start : i + 1].to_numpy(), "b": pdf["b"].iloc[start : i + 1].to_numpy(), "sim": sim})
-                    held, weight, start = [], 0, i + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # Arrow strings become bytes a slice at a time
+            left, right = batch.column("ta"), batch.column("tb")
+            size_of = (pc.binary_length(left).to_numpy(zero_copy_only=False) + pc.binary_length(right).to_numpy(zero_copy_only=False)).cumsum()
+            start = 0
+            while start < batch.num_rows:
+                done = size_of[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(size_of, done + VERIFY_BYTES, side="right")))
+                pair = [c.slice(start, stop - start).cast(pa.binary()).to_pylist() for c in (left, right)]
+                keys = [batch.column(k).slice(start, stop - start) for k in ("a", "b")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(_overlaps(*pair, size))], ["a", "b", "sim"])
+                start = stop
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary, sim double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, sim double")
 
 
 def _star(buckets: DataFrame, leader: str) -> DataFrame:

@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: pd.Series, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def chunks(texts: pd.Series, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """(from, to, UTF-8 texts) in slices of about `max_bytes`; a longer text is a slice of its own. Null is empty."""
     start, held, size = 0, [], 0
     for i, t in enumerate(texts):
