@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_SAMPLE = 4000
@@ -26,12 +26,11 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, max
     clean = clean.groupBy("doc_id").agg(F.min(target).alias("y"), F.max(target).alias("y2")).where("y = y2")
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = clean.select(F.col("doc_id").alias("__tw_label_id"), F.col("y").cast("int"), order.alias("__tw_order")).orderBy("__tw_order").limit(max_rows)
-    joined = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__tw_label_id"))  # at most max_rows rows of two short columns
-    joined = joined.where(docs["text"].isNotNull()).select("__tw_order", F.length(docs["text"]).alias("n"), docs["text"].alias("text"), "y")
-    kept, held = [], 0
-    for row in joined.orderBy("__tw_order", "text").limit(max_rows).toLocalIterator():
-        held += row["n"]
-        if held > max_chars:
-            break
-        kept.append((row["text"], row["y"]))
-    return pd.DataFrame(kept, columns=["text", "y"])
+    slim = docs.select("doc_id", "text").where("text is not null")
+    joined = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("__tw_label_id"))  # at most max_rows rows of three short columns
+    joined = joined.select("__tw_order", F.length("text").alias("n"), "text", "y")
+    first = joined.orderBy("__tw_order", "text").limit(max_rows)
+    held = F.sum("n").over(Window.orderBy("__tw_order", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # at most max_rows rows
+    rows = first.withColumn("__tw_held", held).where(F.col("__tw_held") <= max_chars).select("__tw_order", "text", "y").collect()
+    rows.sort(key=lambda r: (r["__tw_order"], r["text"]))
+    return pd.DataFrame([(r["text"], r["y"]) for r in rows], columns=["text", "y"])
