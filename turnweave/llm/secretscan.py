@@ -129,6 +129,16 @@ def trigram_query(pattern: str, folded: bool = False) -> list[frozenset[frozense
 # --- Index, intersection, verification ---------------------------------------------------
 
 
+def _any_of(grams: set[str]) -> str:
+    """A look-ahead for any of the trigrams: first a class of their first characters, then a branch for each of these."""
+    coded = lambda text: "".join(f"\\x{{{ord(c):x}}}" for c in text)
+    rests: dict[str, list[str]] = {}
+    for g in sorted(grams):
+        rests.setdefault(g[0], []).append(coded(g[1:]))
+    branches = "|".join(f"{coded(first)}(?:{'|'.join(rest)})" for first, rest in rests.items())
+    return f"(?=[{coded(rests)}])(?=({branches}))"
+
+
 def trigram_postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(trigram, key) postings for the trigrams that the rules' queries name.
 
@@ -142,8 +152,7 @@ def trigram_postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: s
     found = []
     for folded, grams in named.items():
         if grams:
-            either = "|".join("".join(f"\\x{ord(c):02x}" if ord(c) < 256 else c for c in g) for g in sorted(grams))
-            listed = F.array_distinct(F.regexp_extract_all(docs[text_col], F.lit(("(?i)" if folded else "") + f"(?=({either}))"), F.lit(1)))
+            listed = F.array_distinct(F.regexp_extract_all(docs[text_col], F.lit(("(?i)" if folded else "") + _any_of(grams)), F.lit(1)))
             found.append(F.array_distinct(F.transform(listed, lambda g: F.concat(F.lit("~"), F.lower(g)))) if folded else listed)
     every = F.concat(*found) if found else F.array().cast("array<string>")
     return docs.select(*with_key(docs, id_col, text_col), F.explode(every).alias("trigram"))
