@@ -401,7 +401,7 @@ def j_fts_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _motif_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Episodes with tokens, and their BM25 scores against episode [0, 6) of one thread."""
     lib, eps = _episodes(spark, sf_dir)
-    eps = episodes.with_tokens(eps)
+    eps = sinks.staged(episodes.with_tokens(eps).select("episode_id", "corpus", "tokens"))  # read for the postings and for the mean length
     asked = episodes.with_tokens(episodes.slice_conversation(lib, "threads:7", 0, 6))
     terms = asked.select(F.lit(0).alias("query"), F.explode(F.array_distinct("tokens")).alias("term"))
     return eps, bm25.score(eps.select(F.col("episode_id").alias("doc"), "tokens"), terms)
