@@ -130,6 +130,27 @@ def test_repeated_rows_leave_one(spark):
     assert [r["doc_id"] for r in bagminhash.dedup(df).collect()] == [5]
 
 
+def test_pairs_in_a_family_below_the_threshold(spark):
+    """Texts of a family at 0.77 with planted pairs at 0.82: a bucket's leader is a third text almost always."""
+    rng = np.random.default_rng(11)
+    shared = [f"s{i}" for i in range(174)]
+    rows, pairs = [], []
+    for i in range(260):
+        own = [f"d{i}x{k}" for k in range(26)]
+        rows.append((i, " ".join(shared + own)))
+        if i < 60:
+            own[26 - 20:] = [f"e{i}x{k}" for k in range(20)]
+            pairs.append((i, 1000 + i))
+            rows.append((1000 + i, " ".join(shared + own)))
+    order = rng.permutation(len(rows))
+    df = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string")
+    bags = {i: set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for i, t in rows}
+    sim = lambda a, b: len(bags[a] & bags[b]) / len(bags[a] | bags[b])
+    assert 0.75 < sim(5, 100) < 0.8 and all(sim(a, b) >= 0.8 for a, b in pairs)
+    heads = {r[ID]: r["head"]["id"] for r in bagminhash.near_duplicates(df).collect()}
+    assert heads == {i: i % 1000 for i, _ in rows}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)] + [(200, 300 + i) for i in range(50)] + [(None, 3)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

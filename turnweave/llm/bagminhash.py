@@ -18,6 +18,7 @@ if no row of their class has an id; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,6 +179,58 @@ def _star(buckets: DataFrame, leader: str) -> DataFrame:
     return buckets.join(materialise(heads, "bagminhash-heads"), "key").where("node <> leader")
 
 
+def _tokens(texts: DataFrame, size: int) -> DataFrame:
+    """`tokens` of each node: one number for every shingle and its how-manieth occurrence, so that a multiset is a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, held in chunks(batch.column("text").to_pylist()):
+                doc, shingle = Words(held).shingles(size)
+                order = np.lexsort((shingle, doc))
+                d, h = doc[order], shingle[order]
+                head = np.ones(len(d), bool)
+                head[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+                nth = np.arange(len(d)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+                token = np.where(nth == 0, h, mix(h + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))).view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=b - a))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(token))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), lists], ["node", "tokens"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, tokens array<long>")
+
+
+def _candidates(rest: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(a, b): every pair of `rest` (node, n, component) of two components that can reach `threshold`, by an exact prefix filter.
+
+    Tokens of one component come first in the global order, then the rarer ones. The first
+    common token of a pair that overlaps in `need` tokens leaves `need` on both sides. `need`
+    follows from both sizes, so entries are joined by token and both size classes: what a
+    family shares lies behind its members' own tokens and beyond these prefixes.
+    """
+    step, share = math.log(1.02), threshold / (1 + threshold)
+    tokens = materialise(_tokens(texts, size), "bagminhash-tokens")
+    each = rest.join(tokens, "node").select("node", "n", "component", F.explode("tokens").alias("token"))
+    useful = each.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    placed = each.join(useful.select("token", "df"), "token").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("component").alias("component"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held")
+    )
+    most = F.floor(F.col("n") * (1 - threshold) + 1e-6).cast("int") + 1 - (F.col("n") - F.size("held"))  # of the held tokens, the prefix for any partner
+    placed = placed.withColumn("most", most.cast("int")).where("most > 0")
+    entries = placed.select("node", "n", "component", (F.col("n") - F.size("held")).alias("own"), F.posexplode(F.expr("slice(held, 1, most)")).alias("at", "item"))
+    entries = entries.select("node", "n", "component", F.col("item.token").alias("token"), (F.col("n") - F.col("own") - F.col("at")).alias("left"))
+    size_class = lambda n: F.floor(F.log(n) / step + 1e-9).cast("int")
+    partner = F.explode(F.sequence(size_class(F.greatest(F.col("n") * threshold, F.lit(1.0)) * (1 - 1e-9)), size_class(F.col("n") / threshold * (1 + 1e-9))))
+    entries = entries.select("*", size_class(F.col("n")).alias("class"), partner.alias("partner"))
+    least = F.greatest(F.exp(F.col("partner") * step), F.col("n") * threshold)
+    entries = entries.where(F.col("left") >= share * (F.col("n") + least) - 1e-3)
+    entries = materialise(entries, "bagminhash-entries")
+    a = entries.select("token", "class", "partner", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "left")])
+    b = entries.select("token", F.col("partner").alias("class"), F.col("class").alias("partner"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "left")])
+    need = share * (F.col("n_a") + F.col("n_b")) - 1e-6
+    met = a.join(b, ["token", "class", "partner"]).where(F.col("component_a") < F.col("component_b")).where(F.least("left_a", "left_b") >= need)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """One row per document: its key, `head` (the row of its class that stays) and `kept`.
 
@@ -187,7 +240,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        members that the triangle inequality of the Jaccard distance leaves within reach
        meet again in buckets keyed by two bands, with leaders drawn anew per bucket; only
        pairs that step 2 has not joined already are verified.
-    4. Classes are the connected components of the verified links.
+    4. The texts of buckets in which members of several components are left are joined
+       exactly (`_candidates`), whatever their leaders were.
+    5. Classes are the connected components of the verified links.
     With 26 bands of 5 slots a pair of similarity 0.8 misses step 2 with a probability of 3e-5.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, bands, rows, size), "bagminhash-prints")
@@ -224,10 +279,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = second.where(F.least("n", "leader_n") / F.greatest("n", "leader_n") >= threshold)
     more = second.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     more = materialise(more.join(sims.select("a", "b"), ["a", "b"], "left_anti"), "bagminhash-pairs")
-    if more.limit(1).count():
-        links = _verified(more, texts_of(more), size).where(F.col("sim") >= threshold).select("a", "b")
+    compared = sims.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def joined_by(pairs: DataFrame) -> DataFrame:
+        links = _verified(pairs, texts_of(pairs), size).where(F.col("sim") >= threshold).select("a", "b")
         links = links.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        linked = components(materialise(links, "bagminhash-links"), "bagminhash")
+        return components(materialise(links, "bagminhash-links"), "bagminhash")
+
+    if more.limit(1).count():
+        linked = joined_by(more)
+        compared = compared.unionByName(more)
+
+    rest = again.select("key", "node", "n").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    rest = materialise(rest.join(several, "key").select("node", "n", "component").distinct(), "bagminhash-rest")
+    if rest.limit(1).count():
+        last = _candidates(rest, texts_of(rest.select(F.col("node").alias("a"), F.col("node").alias("b"))), threshold, size)
+        last = materialise(last.join(compared.distinct(), ["a", "b"], "left_anti"), "bagminhash-pairs")
+        if last.limit(1).count():
+            linked = joined_by(last)
 
     joined = nodes.select("node", "head").join(linked, "node")
     heads = joined.groupBy("component").agg(F.min("head").alias("class_head"))
