@@ -370,6 +370,26 @@ def test_cells_of_large_labels(spark):
     assert sum(r["n_links"] for r in found) >= 0.9 * (s.sum() - len(rows))
 
 
+@pytest.mark.parametrize("tile", [70, 8192])
+def test_large_labels_lose_no_link(spark, tile):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(700, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=base.shape)
+    off -= (off * base).sum(axis=1, keepdims=True) * base
+    near = 0.985 * base + np.sqrt(1 - 0.985**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([base, near, base[:20]])
+    y = np.array([1] * 1400 + [1] * 20)
+    rows = [(i, v.tolist(), int(l)) for i, (v, l) in enumerate(zip(x, y, strict=True))] + [(5000 + i, v.tolist(), 2) for i, v in enumerate(base[:50])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: r for r in vecgraph.near_links(df, cell_max=100, tile=tile).collect()}
+    s = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.98
+    assert len(found) == len(rows)
+    assert [found[i]["n_links"] for i in range(len(x))] == (s.sum(axis=1) - 1).tolist()
+    assert [found[i]["component_id"] for i in range(len(x))] == [i % 700 for i in range(1400)] + list(range(20))
+    assert all(found[5000 + i]["n_links"] == 0 for i in range(50))
+
+
 # --- 8 -----------------------------------------------------------------------------------
 
 

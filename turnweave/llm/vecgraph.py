@@ -2,9 +2,12 @@
 
 Vectors link when their labels are equal and not null and their cosine, in double
 precision, is at least `threshold`. Equal vectors of a label become one node with a number
-of copies. The nodes of a label are one cell; a label of more than `CELL_MAX` nodes is cut
-into cells around sampled pivots, every node going to its nearest pivot and, as a guest,
-to the next ones. In a cell, overlapping k-means shards are linked by robust pruning
+of copies. A label of more than `CELL_MAX` nodes is cut into cells around sampled pivots,
+every node going to its nearest pivot and, as a guest, to every pivot whose cell lies
+within the threshold's angle. A cell's own nodes are compared with all its nodes in tiles
+of bounded size, so every pair at the threshold meets and no link depends on a search.
+
+The nodes of a smaller label are one cell, in which overlapping k-means shards are linked by robust pruning
 (a candidate is dropped when a chosen neighbour is `ALPHA` times nearer to it) and the
 shards' adjacency lists are united into one flat graph. Every node of the cell then
 searches it greedily with a beam from the shard medoids and its own place and expands the range: nodes
@@ -32,7 +35,7 @@ from turnweave.llm.storage import materialise
 
 THRESHOLD = 0.98
 CELL_MAX = 8192
-GUEST_CELLS = 2
+TILE = 8192
 MAX_PIVOTS = 65536
 SHARD, SHARD_MAX, OVERLAP = 512, 2048, 2
 DEGREE, NEAREST, CANDIDATES, ALPHA = 24, 8, 96, 1.44  # of 1 - cosine: 1.2 of the distance
@@ -238,11 +241,15 @@ def _roots(lists: list[np.ndarray]) -> np.ndarray:
             return parent
 
 
+def _unit(raw: np.ndarray) -> np.ndarray:
+    raw = raw.astype(np.float64)
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+
 def _cell(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     pdf = pdf.sort_values("node", kind="stable").drop_duplicates("node")
-    raw = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-    raw = raw / np.abs(raw).max(axis=1, keepdims=True)
-    x = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    x = _unit(np.stack(pdf["vector"].to_numpy()))
     node, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
     lists, recall = cell_links(x, np.flatnonzero(node % 50 == 0), threshold)
     links = np.array([copies[l].sum() for l in lists])
@@ -258,47 +265,108 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def _placed(nodes: DataFrame, cell_max: int) -> DataFrame:
-    """`nodes` with `cell` and `own`, guests repeated."""
+def _placed(nodes: DataFrame, cell_max: int, threshold: float) -> DataFrame:
+    """(node, label, dim, cell, own) of large labels: each node's nearest pivot, and as a guest every cell that a vector within reach may own.
+
+    A vector z of pivot p's cell has z.(p - q) >= 0 for the pivot q nearest to x. If the angle
+    of x and z is at most arccos(threshold), x.(q - p) <= sin(arccos(threshold)) |q - p|.
+    """
     spark = nodes.sparkSession
-    large = nodes.groupBy("label", "dim").count().where(F.col("count") > cell_max)
     pivots = {}
-    picked = nodes.join(large, ["label", "dim"]).where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(cell_max // 2)) == 0)
+    picked = nodes.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(max(1, cell_max // 2))) == 0)
     for r in picked.select("label", "dim", "vector").orderBy(F.xxhash64("vector")).limit(MAX_PIVOTS).collect():  # bounded sample
         pivots.setdefault((r["label"], r["dim"]), []).append(r["vector"])
-    if not pivots:
-        return nodes.withColumns({"cell": F.lit(0), "own": F.lit(True)})
-    unit = {k: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(np.array(v, np.float64)) for k, v in pivots.items()}
-    shared = spark.sparkContext.broadcast(unit)
+    shared = spark.sparkContext.broadcast({k: _unit(np.array(v, np.float64)) for k, v in pivots.items()})
+    slant = np.sqrt(max(0.0, 1 - threshold**2)) if threshold > 0 else np.inf
 
     def run(batches):
         for pdf in batches:
-            parts = []
-            for key, group in pdf.groupby(["label", "dim"], sort=False):
-                m = shared.value.get(key)
-                if m is None:
-                    parts.append(group.assign(cell=0, own=True))
-                    continue
-                sim = np.stack(group["vector"].to_numpy()) @ m.T
-                order = np.argsort(-sim, axis=1, kind="stable")[:, :GUEST_CELLS]
-                parts += [group.assign(cell=order[:, g], own=g == 0) for g in range(order.shape[1])]
-            yield pd.concat(parts)[[*pdf.columns, "cell", "own"]] if parts else pdf.assign(cell=0, own=True)
-
+            for (label, dim), group in pdf.groupby(["label", "dim"], sort=False):
+                m = shared.value.get((label, dim))
+                step = len(group) if m is None else max(1, (1 << 21) // len(m))
+                for i in range(0, len(group), step):
+                    part = group.iloc[i : i + step]
+                    if m is None:
+                        yield part[["node", "label", "dim"]].assign(cell=0, own=True)
+                        continue
+                    sim = _unit(np.stack(part["vector"].to_numpy())) @ m.T
+                    own = sim.argmax(axis=1)
+                    rows = np.arange(len(own))
+                    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (m[own] @ m.T)))
+                    within = sim[rows, own][:, None] - sim <= slant * apart + 1e-7
+                    within[rows, own] = True
+                    r, c = np.nonzero(within)
+                    yield part[["node", "label", "dim"]].iloc[r].assign(cell=c, own=c == own[r])
+
+    fields = [f for f in nodes.schema.fields if f.name in ("node", "label", "dim")]
+    fields = sorted(fields, key=lambda f: ("node", "label", "dim").index(f.name))
     added = [T.StructField("cell", T.IntegerType()), T.StructField("own", T.BooleanType())]
-    return nodes.mapInPandas(run, T.StructType([*nodes.schema.fields, *added]))
+    return nodes.select("node", "label", "dim", "vector").mapInPandas(run, T.StructType([*fields, *added]))
+
+
+def _tile(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of a tile's left nodes to its right nodes, and every node's root over them, by brute force."""
+    pdf = pdf.drop_duplicates(["node", "left"])
+    node, at = np.unique(pdf["node"].to_numpy(), return_inverse=True)
+    x, is_left = _unit(np.stack(pdf["vector"].to_numpy())), pdf["left"].to_numpy()
+    left, right, a_at, b_at = x[is_left], x[~is_left], at[is_left], at[~is_left]
+    copies = pdf["copies"].to_numpy()[~is_left]
+    links, root, every = np.zeros(len(left), np.int64), np.arange(len(node)), np.arange(len(node))
+    for i in range(0, len(left), BLOCK):
+        hit = left[i : i + BLOCK] @ right.T >= threshold
+        hit &= a_at[i : i + BLOCK, None] != b_at
+        links[i : i + BLOCK] = [copies[row].sum() for row in hit]
+        r, c = np.nonzero(hit)
+        a, b = np.concatenate([a_at[i + r], every]), np.concatenate([b_at[c], root])
+        while len(r):
+            before = root.copy()
+            np.minimum.at(root, a, before[b])
+            np.minimum.at(root, b, before[a])
+            root = root[root]
+            if (root == before).all():
+                break
+    own = pd.DataFrame({"node": node[a_at], "own": True, "n_links": links, "root": node[root[a_at]], "recall": 1.0})
+    met = np.flatnonzero(root != every)
+    met = met[~np.isin(met, a_at)]
+    return pd.concat([own, pd.DataFrame({"node": node[met], "own": False, "n_links": 0, "root": node[root[met]], "recall": 1.0})])
+
+
+def _tiled(nodes: DataFrame, cell_max: int, threshold: float, tile: int) -> DataFrame:
+    """The results of `_tile` for all large labels; a cell's own nodes and all its nodes are dealt to tiles of about `tile` x `tile`."""
+    cell = ["label", "dim", "cell"]
+    placed = materialise(_placed(nodes, cell_max, threshold), "vecgraph-cells")
+    parts = lambda n: F.ceil(n / F.lit(tile)).cast("int")
+    sizes = placed.groupBy(*cell).agg(parts(F.count_if("own")).alias("parts_a"), parts(F.count("*")).alias("parts_b")).where("parts_a > 0")
+    dealt = placed.join(materialise(sizes, "vecgraph-tiles"), cell)
+    a, b = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(f"parts_{k}")).cast("int") for k in "ab")
+    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.col(f"parts_{k}") - 1))
+    left = dealt.where("own").select("node", *cell, a.alias("a"), all_of("b").alias("b"), F.lit(True).alias("left"))
+    right = dealt.select("node", *cell, all_of("a").alias("a"), b.alias("b"), F.lit(False).alias("left"))
+    rows = left.unionByName(right).join(nodes.select("node", "vector", "copies"), "node")
+    schema = "node long, own boolean, n_links long, root long, recall double"
+    found = materialise(rows.groupBy(*cell, "a", "b").applyInPandas(lambda pdf: _tile(pdf, threshold), schema), "vecgraph-tiled")
+    counted = found.where("own").groupBy("node").agg(F.sum("n_links").alias("n_links")).join(nodes.select("node", "copies"), "node")
+    own = counted.select("node", F.lit(True).alias("own"), (F.col("n_links") + F.col("copies") - 1).alias("n_links"), F.col("node").alias("root"), F.lit(1.0).alias("recall"))
+    return own.unionByName(found.where("node <> root").withColumn("own", F.lit(False)))
 
 
-def near_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell_max: int = CELL_MAX) -> DataFrame:
-    """One row per vector: `vec_id`, `n_links`, `component_id`, `kept` and the audited `recall` of its cell."""
+def near_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell_max: int = CELL_MAX, tile: int = TILE) -> DataFrame:
+    """One row per vector: `vec_id`, `n_links`, `component_id`, `kept` and the audited `recall` of its cell (1 where tiles hold all pairs)."""
     vector = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), vector.alias("vector"))
     usable = F.col("label").isNotNull() & F.coalesce(_valid(F.col("vector")), F.lit(False))
     rows = rows.withColumn("node", F.when(usable, F.xxhash64("label", "vector")))
     nodes = rows.where("node is not null").groupBy("label", "vector", "node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
     nodes = materialise(nodes.withColumn("dim", F.size("vector")), "vecgraph-nodes")
-    cells = _placed(nodes.select("node", "label", "dim", "vector", "copies"), cell_max)
+    large = materialise(nodes.groupBy("label", "dim").count().where(F.col("count") > cell_max).select("label", "dim"), "vecgraph-large")
+    slim = nodes.select("node", "label", "dim", "vector", "copies").withColumn("own", F.lit(True))
+    some_large = large.limit(1).count() > 0
+    small = slim.join(large, ["label", "dim"], "left_anti") if some_large else slim
     schema = "node long, own boolean, n_links long, root long, recall double"
-    linked = materialise(cells.groupBy("label", "dim", "cell").applyInPandas(lambda pdf: _cell(pdf, threshold), schema), "vecgraph-links")
+    linked = small.groupBy("label", "dim").applyInPandas(lambda pdf: _cell(pdf, threshold), schema)
+    if some_large:
+        linked = linked.unionByName(_tiled(slim.drop("own").join(large, ["label", "dim"], "left_semi"), cell_max, threshold, tile))
+    linked = materialise(linked, "vecgraph-links")
     joined = components(linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "vecgraph")
     ids = nodes.select("node", "least_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
