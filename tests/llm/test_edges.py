@@ -151,6 +151,65 @@ def test_pairs_in_a_family_below_the_threshold(spark):
     assert heads == {i: i % 1000 for i, _ in rows}
 
 
+def near_classes(rows):
+    """Classes over all pairs of shingle multisets, by plain loops over an inverted list."""
+    bags = {i: collections.Counter(zip(*[words(t)[k:] for k in range(5)], strict=False)) for i, t in rows}
+    lists = collections.defaultdict(list)
+    for i, bag in bags.items():
+        for s in bag:
+            lists[s].append(i)
+    root = {i: i for i in bags}
+    for i, bag in bags.items():
+        met = collections.Counter()
+        for s, k in bag.items():
+            for j in lists[s]:
+                if j < i:
+                    met[j] += min(k, bags[j][s])
+        for j, c in met.items():
+            if c / (sum(bag.values()) + sum(bags[j].values()) - c) >= 0.8 and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if r == old else r for k, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize(("n", "least", "most"), [(300, 1, 2), (700, 1, 2), (300, 2, 2), (300, 1, 6)])
+def test_dense_families_lose_no_link(spark, n, least, most):
+    rng = np.random.default_rng(n + most)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.choice(100, rng.integers(least, most + 1), replace=False):
+            own[at] = f"r{rng.integers(0, 40)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r[ID]: r["head"]["id"] for r in bagminhash.near_duplicates(df).collect()}
+    assert whole == near_classes(rows)
+    tiled = {r[ID]: r["head"]["id"] for r in bagminhash.near_duplicates(df, tile_bytes=20_000).collect()}
+    assert tiled == whole
+
+
+def test_bridges_equal_all_pairs():
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        sets = [rng.choice(60, rng.integers(1, 40), replace=False) for _ in range(25)]
+        sets += [np.unique(np.concatenate([s[: max(1, len(s) - 2)], [70 + trial]])) for s in sets[:12]]
+        group, block = rng.integers(0, 20, len(sets)), rng.integers(0, 1 + trial % 2, len(sets))
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        pairs = bagminhash.bridges(group, block, np.concatenate(sets), ends, 0.7)
+
+        def joined(found, group=group):
+            root = group.copy()
+            for a, b in found:
+                root[root == root[b]] = root[a]
+            return {frozenset(np.flatnonzero(root == r).tolist()) for r in root}
+
+        sim = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+        every = [(i, j) for i in range(len(sets)) for j in range(i) if sim(sets[i], sets[j]) >= 0.7 and (block.max() == block.min() or block[i] != block[j])]
+        assert all(sim(sets[a], sets[b]) >= 0.7 for a, b in pairs)
+        assert joined(pairs) == joined(every)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)] + [(200, 300 + i) for i in range(50)] + [(None, 3)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -18,26 +18,24 @@ if no row of their class has an id; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.llm.bytewords import Words, chunks, mix, times
 from turnweave.llm.components import components
 from turnweave.llm.rowkeys import HASH, ID, with_key
-from turnweave.llm.storage import materialise
+from turnweave.llm.storage import Workspace
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 26
 ROWS = 5
-VERIFY_BYTES = 1 << 20
+TILE_BYTES = 1 << 19
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, n_docs: int, slots: int) -> np.ndarray:
@@ -130,55 +128,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumn(ID, F.col(ID).cast(id_type))
 
 
-def _overlaps(left: list[bytes], right: list[bytes], size: int) -> np.ndarray:
-    """Weighted Jaccard similarity of each pair of texts."""
-    n = len(left)
-    pair, shingle, sign = [], [], []
-    for side, texts in enumerate((left, right)):
-        doc, h = Words(texts).shingles(size)
-        pair.append(doc), shingle.append(h), sign.append(np.full(len(doc), side))
-    pair, shingle, sign = (np.concatenate(x) for x in (pair, shingle, sign))
-    order = np.lexsort((shingle, pair))
-    pair, shingle, sign = pair[order], shingle[order], sign[order]
-    head = np.ones(len(pair), bool)
-    head[1:] = (pair[1:] != pair[:-1]) | (shingle[1:] != shingle[:-1])
-    group = np.cumsum(head) - 1
-    right_n = np.bincount(group, weights=sign)
-    all_n = np.bincount(group)
-    common = np.bincount(pair[head], weights=np.minimum(right_n, all_n - right_n), minlength=n)
-    total = np.bincount(pair, minlength=n)
-    return common / np.maximum(total - common, 1)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """`sim` of each (a, b): exact multiset overlap of the whole texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # Arrow strings become bytes a slice at a time
-            left, right = batch.column("ta"), batch.column("tb")
-            size_of = (pc.binary_length(left).to_numpy(zero_copy_only=False) + pc.binary_length(right).to_numpy(zero_copy_only=False)).cumsum()
-            start = 0
-            while start < batch.num_rows:
-                done = size_of[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(size_of, done + VERIFY_BYTES, side="right")))
-                pair = [c.slice(start, stop - start).cast(pa.binary()).to_pylist() for c in (left, right)]
-                keys = [batch.column(k).slice(start, stop - start) for k in ("a", "b")]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(_overlaps(*pair, size))], ["a", "b", "sim"])
-                start = stop
-
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, sim double")
-
-
-def _star(buckets: DataFrame, leader: str) -> DataFrame:
-    """Every other member of each bucket of two or more texts, beside the bucket's leader (the least by `leader`)."""
-    row = "struct(node, n, component)" if "component" in buckets.columns else "struct(node, n)"
-    heads = buckets.groupBy("key").agg(F.expr(f"min_by({row}, {leader})").alias("h"), F.count("*").alias("members")).where("members > 1")
-    heads = heads.select("key", F.expr("h.node").alias("leader"), *[F.expr(f"h.{c}").alias(f"leader_{c}") for c in buckets.columns if c in ("n", "component")])
-    return buckets.join(materialise(heads, "bagminhash-heads"), "key").where("node <> leader")
-
-
 def _tokens(texts: DataFrame, size: int) -> DataFrame:
     """`tokens` of each node: one number for every shingle and its how-manieth occurrence, so that a multiset is a set."""
 
@@ -199,121 +148,148 @@ def _tokens(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node binary, tokens array<long>")
 
 
-def _candidates(rest: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    """(a, b): every pair of `rest` (node, n, component) of two components that can reach `threshold`, by an exact prefix filter.
+def bridges(group: np.ndarray, block: np.ndarray, tokens: np.ndarray, ends: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of rows at `threshold` that join all groups which any such pair joins; rows are token sets tokens[ends[i]:ends[i + 1]].
 
-    Tokens of one component come first in the global order, then the rarer ones. The first
-    common token of a pair that overlaps in `need` tokens leaves `need` on both sides. `need`
-    follows from both sizes, so entries are joined by token and both size classes: what a
-    family shares lies behind its members' own tokens and beyond these prefixes.
+    With two blocks, only rows of different blocks are compared: each block meets itself
+    elsewhere. A row drops out beforehand if too few of its tokens occur in another group
+    for any partner. Every other row is compared with all later rows at once, unless they
+    are joined already, so that nothing but the row's counts is held.
+    """
+    n = np.diff(ends)
+    row = np.repeat(np.arange(len(n)), n)
+    group = np.unique(group, return_inverse=True)[1]
+    kinds, token = np.unique(tokens, return_inverse=True)
+    low, high = np.full(len(kinds), len(n)), np.full(len(kinds), -1)
+    np.minimum.at(low, token, group[row])
+    np.maximum.at(high, token, group[row])
+    shared = (low != high)[token]
+    able = np.bincount(row[shared], minlength=len(n)) >= threshold * n - 1e-6  # of n + m - c >= c / threshold, the least over all sizes m
+    able &= n > 0
+    rows = np.flatnonzero(able)
+    rows = rows[np.lexsort((np.bincount(group)[group[rows]], block[rows]))]  # small groups first: what joins them spares the large one's rows
+    place = np.full(len(n), -1)
+    place[rows] = np.arange(len(rows))
+    use = shared & able[row]
+    order = np.argsort(place[row[use]], kind="stable")
+    token, row = token[use][order], place[row[use]][order]
+    ends = np.searchsorted(row, np.arange(len(rows) + 1))
+    group, n, block = group[rows], n[rows], block[rows]
+    two = len(rows) > 0 and block[0] != block[-1]
+    second = int(np.searchsorted(block, block[-1])) if two else len(rows)
+    mark, found = np.zeros(len(kinds), bool), []
+    for i in range(second if two else len(rows) - 1):
+        start = second if two else i + 1
+        apart = group[start:] != group[i]
+        if not apart.any():
+            continue
+        own = token[ends[i] : ends[i + 1]]
+        mark[own] = True
+        common = np.add.reduceat(mark[token[ends[start] :]].astype(np.int64), ends[start:-1] - ends[start])
+        mark[own] = False
+        for j in np.flatnonzero(apart & (common / (n[i] + n[start:] - common) >= threshold)) + start:
+            if group[j] != group[i]:
+                found.append((int(rows[i]), int(rows[j])))
+                group[group == group[j]] = group[i]
+    return found
+
+
+def _tile(table: pa.Table, threshold: float) -> pa.Table:
+    table = table.combine_chunks()
+    lists, component = table.column("tokens").combine_chunks(), table.column("component").combine_chunks()
+    tokens, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    group = component.dictionary_encode().indices.to_numpy()
+    pairs = bridges(group, table.column("block").to_numpy(), tokens, ends, threshold)
+    a, b = (component.take(pa.array([p[k] for p in pairs], pa.int64())) for k in (0, 1))
+    return pa.table([a, b], ["a", "b"])
+
+
+def _open_pairs(members: DataFrame, linked: DataFrame, tokens: DataFrame, threshold: float, tile_bytes: int) -> DataFrame:
+    """(a, b): components joined by pairs of a bucket's members that are not its leader, all of which the leader was compared with.
+
+    Members of buckets whose members lie in several components are dealt to `ceil(bytes / tile_bytes)`
+    blocks a bucket, and every two blocks meet in one task, so a task holds about two blocks.
     """
-    step, share = math.log(1.02), threshold / (1 + threshold)
-    tokens = materialise(_tokens(texts, size), "bagminhash-tokens")
-    each = rest.join(tokens, "node").select("node", "n", "component", F.explode("tokens").alias("token"))
-    useful = each.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    placed = each.join(useful.select("token", "df"), "token").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("component").alias("component"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held")
-    )
-    most = F.floor(F.col("n") * (1 - threshold) + 1e-6).cast("int") + 1 - (F.col("n") - F.size("held"))  # of the held tokens, the prefix for any partner
-    placed = placed.withColumn("most", most.cast("int")).where("most > 0")
-    entries = placed.select("node", "n", "component", (F.col("n") - F.size("held")).alias("own"), F.posexplode(F.expr("slice(held, 1, most)")).alias("at", "item"))
-    entries = entries.select("node", "n", "component", F.col("item.token").alias("token"), (F.col("n") - F.col("own") - F.col("at")).alias("left"))
-    size_class = lambda n: F.floor(F.log(n) / step + 1e-9).cast("int")
-    partner = F.explode(F.sequence(size_class(F.greatest(F.col("n") * threshold, F.lit(1.0)) * (1 - 1e-9)), size_class(F.col("n") / threshold * (1 + 1e-9))))
-    entries = entries.select("*", size_class(F.col("n")).alias("class"), partner.alias("partner"))
-    least = F.greatest(F.exp(F.col("partner") * step), F.col("n") * threshold)
-    entries = entries.where(F.col("left") >= share * (F.col("n") + least) - 1e-3)
-    entries = materialise(entries, "bagminhash-entries")
-    a = entries.select("token", "class", "partner", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "left")])
-    b = entries.select("token", F.col("partner").alias("class"), F.col("class").alias("partner"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "left")])
-    need = share * (F.col("n_a") + F.col("n_b")) - 1e-6
-    met = a.join(b, ["token", "class", "partner"]).where(F.col("component_a") < F.col("component_b")).where(F.least("left_a", "left_b") >= need)
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+    own = members.select("key", "node", "n").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("total")).where("low <> high")
+    blocks = F.ceil(F.col("total") * 8 / tile_bytes).cast("int")
+    rest = own.join(several.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = rest.select("key", "node", "component", "block", "blocks").join(tokens, "node").select("key", "component", "block", "tokens", met)
+    tiles = dealt.select("key", "component", "block", "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return tiles.groupBy("key", "i", "j").applyInArrow(lambda table: _tile(table, threshold), "a binary, b binary").distinct()
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+    bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, tile_bytes: int = TILE_BYTES,
+) -> DataFrame:
     """One row per document: its key, `head` (the row of its class that stays) and `kept`.
 
     1. Texts with equal words become one node.
-    2. In each band bucket every member is verified against one leader (no all pairs).
-    3. Where a bucket has members that its leader does not match, they and those matched
-       members that the triangle inequality of the Jaccard distance leaves within reach
-       meet again in buckets keyed by two bands, with leaders drawn anew per bucket; only
-       pairs that step 2 has not joined already are verified.
-    4. The texts of buckets in which members of several components are left are joined
-       exactly (`_candidates`), whatever their leaders were.
-    5. Classes are the connected components of the verified links.
-    With 26 bands of 5 slots a pair of similarity 0.8 misses step 2 with a probability of 3e-5.
+    2. In each band bucket every member is verified against one leader, the least digest,
+       which is the same in all buckets that hold it: pairs repeat and collapse.
+    3. Verified links give components. In buckets whose other members lie in several
+       components, these are compared block by block (`bridges`), so no pair of a
+       common bucket depends on its leader; only joined components are returned.
+    4. Classes are the connected components of all links.
+    Verification is the exact weighted Jaccard similarity of the whole texts' shingles. With 26
+    bands of 5 slots a pair of similarity 0.8 shares no bucket with a probability of 3e-5.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, bands, rows, size), "bagminhash-prints")
+    space = Workspace(docs.sparkSession, "bagminhash")
+    prints = space.table(fingerprints(docs, id_col, text_col, bands, rows, size), "prints")
     order = F.struct(F.col(ID).isNull().alias("none"), F.col(ID).alias("id"), F.col(HASH).alias("hash"))
     worded = prints.where("node is not null")
     nodes = worded.groupBy("node").agg(F.min(order).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialise(nodes, "bagminhash-nodes")
+    nodes = space.table(nodes, "nodes")
 
     buckets = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    members = _star(buckets, "node").select("key", "node", "n", "leader", (F.least("n", "leader_n") / F.greatest("n", "leader_n")).alias("bound"))
-    members = materialise(members, "bagminhash-members")
-    asked = members.where(F.col("bound") >= threshold).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    asked = materialise(asked, "bagminhash-pairs")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = wanted.join(nodes.select("node", F.col("head.id").alias("w_id"), F.col("head.hash").alias("w_hash")), "node")
-        found = docs.select(*with_key(docs, id_col, text_col), docs[text_col].alias("text"))
-        found = found.join(wanted, (found[HASH] == wanted["w_hash"]) & found[ID].eqNullSafe(wanted["w_id"]))
-        return materialise(found.select("node", "text").dropDuplicates(["node"]), "bagminhash-texts")
-
-    sims = materialise(_verified(asked, texts_of(asked), size), "bagminhash-sims")
-    linked = components(sims.where(F.col("sim") >= threshold).select("a", "b"), "bagminhash-first")
-    known = sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim")
-    reach = members.join(known, ["leader", "node"], "left").select("key", "node", "n", F.coalesce("sim", "bound").alias("sim"))
-    reach = reach.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = reach.where(F.col("sim") < threshold).groupBy("key").agg(F.max("sim").alias("nearest"))
-    again = reach.join(materialise(open_keys, "bagminhash-open"), "key")
-    again = again.where((F.col("sim") < threshold) | ((1 - F.col("sim")) >= (1 - F.col("nearest")) - (1 - threshold)))
-    keys = again.groupBy("node", "component").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("key")).alias("keys")).where("size(keys) > 1")
-    double = F.expr("explode(flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y)))))")
-    double = materialise(keys.select("node", "component", "n", double.alias("key")), "bagminhash-second")
-    second = _star(double, "xxhash64(node, key)").where("component <> leader_component")
-    second = second.where(F.least("n", "leader_n") / F.greatest("n", "leader_n") >= threshold)
-    more = second.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    more = materialise(more.join(sims.select("a", "b"), ["a", "b"], "left_anti"), "bagminhash-pairs")
-    compared = sims.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    def joined_by(pairs: DataFrame) -> DataFrame:
-        links = _verified(pairs, texts_of(pairs), size).where(F.col("sim") >= threshold).select("a", "b")
-        links = links.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        return components(materialise(links, "bagminhash-links"), "bagminhash")
-
-    if more.limit(1).count():
-        linked = joined_by(more)
-        compared = compared.unionByName(more)
-
-    rest = again.select("key", "node", "n").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rest = materialise(rest.join(several, "key").select("node", "n", "component").distinct(), "bagminhash-rest")
-    if rest.limit(1).count():
-        last = _candidates(rest, texts_of(rest.select(F.col("node").alias("a"), F.col("node").alias("b"))), threshold, size)
-        last = materialise(last.join(compared.distinct(), ["a", "b"], "left_anti"), "bagminhash-pairs")
-        if last.limit(1).count():
-            linked = joined_by(last)
-
-    joined = nodes.select("node", "head").join(linked, "node")
-    heads = joined.groupBy("component").agg(F.min("head").alias("class_head"))
-    grouped = linked.join(heads, "component").select("node", "class_head")
-    classes = materialise(nodes.select("node", "head").join(grouped, "node", "left").select("node", F.coalesce("class_head", "head").alias("head")), "bagminhash-classes")
-    out = prints.select(ID, HASH, "node").join(classes, "node", "left")
+    heads = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("members")).where("members > 1")
+    heads = space.table(heads.select("key", F.col("h.node").alias("leader"), F.col("h.n").alias("leader_n")), "heads")
+    members = space.table(buckets.join(heads, "key").where("node <> leader"), "members")
+
+    wanted = members.select("node").union(heads.select("leader")).distinct()
+    wanted = wanted.join(nodes.select("node", F.col("head.id").alias("w_id"), F.col("head.hash").alias("w_hash")), "node")
+    wanted = space.table(wanted, "wanted")
+    found = docs.select(*with_key(docs, id_col, text_col), docs[text_col].alias("text"))
+    found = found.join(wanted, (found[HASH] == wanted["w_hash"]) & found[ID].eqNullSafe(wanted["w_id"]))
+    tokens = space.table(_tokens(found.select("node", "text").dropDuplicates(["node"]), size), "tokens")
+
+    asked = members.where(F.least("n", "leader_n") / F.greatest("n", "leader_n") >= threshold).select("leader", "node", "n", "leader_n").distinct()
+    pairs = asked.join(tokens.withColumnRenamed("tokens", "held"), "node").join(tokens.select(F.col("node").alias("leader"), "tokens"), "leader")
+    common = F.size(F.array_intersect("held", "tokens"))
+    links = pairs.where(common / (F.col("n") + F.col("leader_n") - common) >= threshold).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    linked = components(links, space)
+
+    more = space.table(_open_pairs(members, linked, tokens, threshold, tile_bytes), "bridges")
+    joined = components(more, space).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    several = linked.unionByName(joined.select(F.col("component").alias("node"), "component")).distinct()  # a component is a node of its own
+    several = several.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    several = space.table(nodes.select("node", "head").join(several, "node"), "joined")
+    least = several.groupBy("component").agg(F.min("head").alias("class_head"))
+    grouped = several.join(least, "component").select("node", "class_head")
+    classes = nodes.select("node", "head").join(grouped, "node", "left").select("node", F.coalesce("class_head", "head").alias("head"))
+    out = prints.select(ID, HASH, "node").join(space.table(classes, "classes"), "node", "left")
     out = out.withColumn("head", F.coalesce("head", order))
-    return out.select(ID, HASH, "head", (F.col("head.id").eqNullSafe(F.col(ID)) & (F.col("head.hash") == F.col(HASH))).alias("kept"))
+    out = out.select(ID, HASH, "head", (F.col("head.id").eqNullSafe(F.col(ID)) & (F.col("head.hash") == F.col(HASH))).alias("kept"))
+    return space.result(out)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents of `docs`, one of each class of near duplicates, with all their columns.
 
     The row with the smallest id stays; of rows repeated with the same id and text, one.
+    Keys that go, and kept keys that repeat, are the joins' other sides: texts are not
+    shuffled while these are few.
     """
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(ID, HASH).distinct()
-    keyed = docs.select("*", *with_key(docs, id_col, text_col)).dropDuplicates([ID, HASH])
-    other = kept.select(F.col(ID).alias("__tw_k"), F.col(HASH).alias("__tw_h"))
-    return keyed.join(other, (keyed[HASH] == other["__tw_h"]) & keyed[ID].eqNullSafe(other["__tw_k"]), "left_semi").drop(ID, HASH)
+    space = Workspace(docs.sparkSession, "bagminhash-keys")
+    keys = near_duplicates(docs, id_col, text_col, **options).groupBy(F.col(ID).alias("__tw_k"), F.col(HASH).alias("__tw_h"))
+    keys = keys.agg(F.first("kept").alias("kept"), F.count("*").alias("times")).where("not kept or times > 1")
+    keys = space.result(keys)
+    keyed = docs.select("*", *with_key(docs, id_col, text_col))
+    same = (F.col(HASH) == F.col("__tw_h")) & F.col(ID).eqNullSafe(F.col("__tw_k"))
+    once = keyed.join(keys, same, "left_anti")
+    repeated = keys.where("kept")
+    if repeated.limit(1).count():
+        once = once.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates([ID, HASH]))
+    return once.drop(ID, HASH)

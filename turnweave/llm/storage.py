@@ -1,8 +1,9 @@
 """Shared storage for intermediate tables and archives.
 
 ``spark.checkpoint.dir`` names a folder that the driver and every executor see.
-It is read from the session; only where it is unset (tests, a laptop) does the
-library pick a folder of its own.
+It is read from the session. Where it is unset, a local master gets a folder of its
+own (tests, a laptop) and any other master an error, since executors of a cluster
+would write to their own disks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder; the local default is set only when there is none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = LOCAL_DEFAULT
         spark.sparkContext.setCheckpointDir(found)
     return qualified(spark, found.rstrip("/"))
@@ -45,6 +48,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """A folder for the tables of one call; they go when the call's result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path, self.made = spark, name, new_folder(spark, name), 0
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` written under the folder and read back."""
+        self.made += 1
+        path = f"{self.path}/{self.made:03d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """`df` as a table of its own, which stays for whoever reads it; all others are deleted."""
+        out = materialise(df, self.name)
+        delete_tree(self.spark, self.path)
+        return out
+
+
 def delete_tree(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -367,7 +367,7 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     if some_large:
         linked = linked.unionByName(_tiled(slim.drop("own").join(large, ["label", "dim"], "left_semi"), cell_max, threshold, tile))
     linked = materialise(linked, "vecgraph-links")
-    joined = components(linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "vecgraph")
+    joined = components(linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     ids = nodes.select("node", "least_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
     results = ids.join(least, "component").join(linked.where("own"), "node").select("node", "component_id", "n_links", "recall")
