@@ -21,12 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from turnweave.llm.bytewords import Words, chunks, mix, times
+from turnweave.llm.bytewords import Words, mix, slices, times, with_columns
 from turnweave.llm.components import components
 from turnweave.llm.rowkeys import HASH, ID, with_key
 from turnweave.llm.storage import Workspace
@@ -104,28 +104,19 @@ def _digests(words: Words) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """One row per document: its key, `node` (digest of its words; null without words), `n` shingles and `bands` keys."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, b, texts in chunks(pdf["text"]):
-                words = Words(texts)
-                doc, shingle = words.shingles(size)
-                n = np.bincount(doc, minlength=b - a)
-                keys = _band_keys(signatures(doc, shingle, b - a, bands * rows), bands, rows)
-                digest = _digests(words)
-                yield pd.DataFrame({
-                    ID: pdf[ID].iloc[a:b].to_numpy(),
-                    HASH: pdf[HASH].iloc[a:b].to_numpy(),
-                    "node": [digest[i].tobytes() if n[i] else None for i in range(b - a)],
-                    "n": n,
-                    "bands": [keys[i] if n[i] else None for i in range(b - a)],
-                })
+    def make(texts: list[bytes]) -> list[pa.Array]:
+        words = Words(texts)
+        doc, shingle = words.shingles(size)
+        n = np.bincount(doc, minlength=len(texts))
+        keys = _band_keys(signatures(doc, shingle, len(texts), bands * rows), bands, rows)
+        node = pa.array([d.tobytes() if k else None for d, k in zip(_digests(words), n, strict=True)], pa.binary())
+        ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[n > 0].ravel()), mask=pa.array(n == 0))
+        return [node, pa.array(n), lists]
 
     source = docs.select(*with_key(docs, id_col, text_col), docs[text_col].alias("text"))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    if id_type in ("bigint", "int", "smallint", "tinyint"):  # a null must not turn ids into floats on the way through pandas
-        source = source.withColumn(ID, F.col(ID).cast("string"))
-    out = source.mapInPandas(run, f"{ID} string, {HASH} long, node binary, n long, bands array<long>")
-    return out.withColumn(ID, F.col(ID).cast(id_type))
+    added = T.StructType.fromDDL("node binary, n long, bands array<long>")
+    return with_columns(source, "text", added.fields, make).drop("text")
 
 
 def _tokens(texts: DataFrame, size: int) -> DataFrame:
@@ -133,7 +124,7 @@ def _tokens(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, held in chunks(batch.column("text").to_pylist()):
+            for a, b, held in slices(batch.column("text")):
                 doc, shingle = Words(held).shingles(size)
                 order = np.lexsort((shingle, doc))
                 d, h = doc[order], shingle[order]

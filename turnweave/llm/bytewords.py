@@ -6,10 +6,14 @@ characters above U+007F; on UTF-8 bytes that is a run of bytes in a fixed class.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 _B = np.arange(256)
 WORD_BYTE = ((_B >= 0x30) & (_B <= 0x39)) | ((_B >= 0x41) & (_B <= 0x5A)) | ((_B >= 0x61) & (_B <= 0x7A)) | (_B >= 0x80)
@@ -45,6 +49,30 @@ def chunks(texts: pd.Series, max_bytes: int = 1 << 20) -> Iterator[tuple[int, in
         yield start, start + len(held), held
 
 
+def slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """`chunks` of an Arrow column of strings; only one slice at a time becomes Python objects."""
+    held = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+    start = 0
+    while start < len(texts):
+        done = int(held[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(held, done + max_bytes, side="right")))
+        yield start, stop, [t or b"" for t in texts.slice(start, stop - start).cast(pa.binary()).to_pylist()]
+        start = stop
+
+
+def with_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[list[bytes]], list[pa.Array]]) -> DataFrame:
+    """`df` and columns that `make` finds from whole texts; all other columns pass through Arrow as they are, nulls and types included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, held in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(held)], [*part.schema.names, *(f.name for f in fields)])
+
+    at = df.columns.index(text_col)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+
+
 class Words:
     """All words of several texts: `doc` (index of the text), `start` and `end` (bytes in `raw`)."""
 

@@ -11,16 +11,16 @@ finite for any text; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnweave.llm.bytewords import WORD_BYTE, Words, chunks
+from turnweave.llm.bytewords import WORD_BYTE, Words, chunks, with_columns
 from turnweave.llm.labelled import id_remainder, sample
 
 TREES, DEPTH, BINS, RATE = 80, 4, 64, 0.15
@@ -169,17 +169,12 @@ def score(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
     """`docs` with `__tw_score`."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(forest))  # fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest_here = Forest(**shared.value)
-        for pdf in batches:
-            yield pdf.assign(__tw_score=forest_here.score(_of_texts(pdf[text_col])))
+    def make(texts: list[bytes]) -> list[pa.Array]:
+        return [pa.array(Forest(**shared.value).score(statistics(Words(texts))))]
 
-    base = docs.drop("__tw_score")
-    return base.mapInPandas(run, T.StructType([*base.schema.fields, T.StructField("__tw_score", T.DoubleType())]))
+    return with_columns(docs.drop("__tw_score"), text_col, [T.StructField("__tw_score", T.DoubleType())], make)
 
 
 def scored_ids(docs: DataFrame, forest: Forest) -> DataFrame:
     """(doc_id, score) with only ids and texts going through Python."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text"))
-    return score(slim, forest).select(F.col("doc_id").cast(kind), F.col("__tw_score").alias("score"))
+    return score(docs.select("doc_id", "text"), forest).select("doc_id", F.col("__tw_score").alias("score"))

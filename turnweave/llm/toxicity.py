@@ -20,11 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnweave.llm.bytewords import Words, chunks, times
+from turnweave.llm.bytewords import Words, chunks, times, with_columns
 from turnweave.llm.labelled import id_remainder, sample
 
 CHAIN = 64
@@ -245,26 +246,23 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # BUCKETS doubles: fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Model(**shared.value)
-        for pdf in batches:
-            out, found = np.zeros(len(pdf)), [[] for _ in range(len(pdf))]
-            for a, b, texts in chunks(pdf[text_col]):
-                words = Words(texts)
-                p = word_probabilities(words, m)
-                out[a:b] = scores(words, p, m)
-                if spans:
-                    for doc, start, end, q in _spans(words, p):
-                        found[a + doc].append({"start": start, "end": end, "p": q})
-            done = pdf.assign(__tw_score=out)
-            yield done.assign(toxic_spans=found) if spans else done
+    def make(texts: list[bytes]) -> list[pa.Array]:
+        words, m = Words(texts), Model(**shared.value)
+        p = word_probabilities(words, m)
+        out = [pa.array(scores(words, p, m))]
+        if spans:
+            found: list[list[dict]] = [[] for _ in texts]
+            for doc, start, end, q in _spans(words, p):
+                found[doc].append({"start": start, "end": end, "p": q})
+            out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))))
+        return out
 
     base = docs.drop("__tw_score", "toxic_spans") if spans else docs.drop("__tw_score")
     added = [T.StructField("__tw_score", T.DoubleType())]
     if spans:
         span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())])
         added.append(T.StructField("toxic_spans", T.ArrayType(span)))
-    return base.mapInPandas(run, T.StructType([*base.schema.fields, *added]))
+    return with_columns(base, text_col, added, make)
 
 
 def _spans(words: Words, p: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
@@ -281,7 +279,4 @@ def _spans(words: Words, p: np.ndarray) -> Iterator[tuple[int, int, int, float]]
 
 def scored_ids(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) with only ids and texts going through Python."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text"))
-    done = score(slim, model).select(F.col("doc_id").cast(kind), F.col("__tw_score").alias("score"))
-    return done
+    return score(docs.select("doc_id", "text"), model).select("doc_id", F.col("__tw_score").alias("score"))
