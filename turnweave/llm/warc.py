@@ -9,7 +9,7 @@ where they fail to inflate to a header. Files are opened with pyarrow's file sys
 any URI they know works; `file:` needs a folder that all executors share.
 
 Edge cases: a null payload is empty; payloads of any size stream through in pieces; rows
-that repeat the largest id of a payload are all responses; rows with a null id revisit a
+that repeat the largest id of a payload are all responses; headers of any length are read; rows with a null id revisit a
 response that has one and are responses where none has; an empty table writes no archive
 and reads as an empty result.
 """
@@ -33,7 +33,6 @@ MAGIC = b"\x1f\x8b\x08"
 LEAST_REVISIT = 1000
 SPLIT_BYTES = 8 << 20
 READ_BYTES = 1 << 16
-MAX_HEADER = 1 << 16
 ROWS_SCHEMA = "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string"
 
 
@@ -142,19 +141,20 @@ def _member(source: _Input, at: int) -> Iterator[bytes] | None:
 
 def _parse(source: _Input, at: int):
     """(fields, payload size, payload SHA-1, end) of the record in the member at `at`, or None if it is no record."""
-    head, fields, digest, size, wanted = b"", None, hashlib.sha1(), 0, 0
+    head, fields, digest, size, wanted = bytearray(), None, hashlib.sha1(), 0, 0
     try:
         for piece in _member(source, at):
             if isinstance(piece, int):
                 return None if fields is None or size < wanted else (fields, wanted, digest.hexdigest(), piece)
             if fields is None:
+                seen = max(0, len(head) - 3)
                 head += piece
-                if not head.startswith(b"WARC/"[: len(head)]) or (b"\r\n\r\n" not in head and len(head) > MAX_HEADER):
+                if not head.startswith(b"WARC/"[: len(head)]):
                     return None
-                if b"\r\n\r\n" not in head:
+                if (blank := head.find(b"\r\n\r\n", seen)) < 0:  # headers are as long as their record says
                     continue
-                raw, piece = head.split(b"\r\n\r\n", 1)
-                pairs = (line.split(": ", 1) for line in raw.decode("utf-8").split("\r\n")[1:])
+                piece = bytes(head[blank + 4 :])
+                pairs = (line.split(": ", 1) for line in head[:blank].decode("utf-8").split("\r\n")[1:])
                 fields = {p[0].lower(): p[1] for p in pairs if len(p) == 2}
                 wanted = int(fields["content-length"])
             body = piece[: max(0, wanted - size)]
