@@ -1,14 +1,14 @@
 """Reproducible shuffle into shards: a Feistel permutation over global row numbers.
 
 Row numbers 0..N-1 follow from the keys alone: rows fall into `BUCKETS` by a mix of their
-id, buckets count their rows, and a row's number is its rank in its bucket plus the sizes
+id, size and CRC, buckets count their rows, and a row's number is its rank in its bucket plus the sizes
 of the buckets before. An alternating Feistel network over Z_a x Z_b (a = ceil(sqrt N),
 b = ceil(N / a)) permutes the numbers; numbers at or above N walk their cycle until they
 fall below. A row of permuted number p lies in shard p mod S at slot p div S, so shard
 counts differ by one at most and both are computable from the number.
 
-Edge cases: a null id has a bucket of its own value and null texts have size 16 and the
-CRC of no bytes; rows equal in id, size and CRC are interchangeable; an empty table gives
+Edge cases: ids may be of any type; a null id counts as the id "null" and null texts have
+size 16 and the CRC of no bytes; rows equal in id, size and CRC are interchangeable; an empty table gives
 an empty result; input columns named like an added one are replaced.
 """
 
@@ -34,10 +34,10 @@ def _spread(value: Column, key: Column) -> Column:
     return x * MULTIPLIER % MODULUS
 
 
-def bucket_of(row_id: Column, buckets: int = BUCKETS) -> Column:
-    known = F.coalesce(row_id.cast("long"), F.lit(-1))
-    low, high = F.pmod(known, F.lit(MODULUS)), F.pmod(F.floor(known / F.lit(2147483648.0)).cast("long"), F.lit(MODULUS))
-    return (_spread((low + _spread(high, F.lit(7))) % MODULUS, F.lit(11)) % buckets).cast("int")
+def bucket_of(row_id: Column, ties: list[Column], buckets: int = BUCKETS) -> Column:
+    """The bucket of a row by its id, of any type, and by what tells rows of one id apart: neither null ids nor repeated ones meet in one bucket."""
+    key = F.concat_ws(":", F.coalesce(row_id.cast("string"), F.lit("null")), *[t.cast("string") for t in ties])
+    return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % buckets).cast("int")
 
 
 def _feistel(number: Column, a: Column, b: Column) -> Column:
@@ -85,8 +85,9 @@ def numbered(rows: DataFrame, id_col: str, tie_cols: list[str], buckets: int = B
     The bucket offsets are one small row per bucket (at most `buckets`), hence the
     broadcast; rows are sorted within buckets only.
     """
-    keyed = rows.withColumn("__tw_bucket", bucket_of(F.col(id_col), buckets))
-    counts = rows.select(bucket_of(F.col(id_col), buckets).alias("__tw_bucket")).groupBy("__tw_bucket").agg(F.count("*").alias("__tw_n"))
+    bucket = bucket_of(F.col(id_col), [F.col(c) for c in tie_cols], buckets)
+    keyed = rows.withColumn("__tw_bucket", bucket)
+    counts = rows.select(bucket.alias("__tw_bucket")).groupBy("__tw_bucket").agg(F.count("*").alias("__tw_n"))
     order = Window.orderBy("__tw_bucket")
     offsets = counts.select(
         "__tw_bucket",
