@@ -94,7 +94,7 @@ def test_mixture(stages):
     expected = collections.Counter()
     for r in stages["decontamination"]:
         rate = 2.0 if r["source"] in fixed else weight[r["source"]] * level / total[r["source"]]
-        u = int(hashlib.md5(f"{mixing.SEED}:{r['doc_id']}".encode()).hexdigest()[:8], 16) / 2**32
+        u = int(hashlib.md5(f"{mixing.SEED}:{r['doc_id']}:{hashlib.md5((r['text'] or '').encode()).hexdigest()}".encode()).hexdigest()[:8], 16) / 2**32
         if n := int(rate) + (u < rate - int(rate)):
             expected[r["doc_id"]] = n
     assert collections.Counter(r["doc_id"] for r in stages["mixing"]) == expected

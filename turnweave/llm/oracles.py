@@ -86,9 +86,7 @@ def _sharding() -> str:
         x = f"(({v} + {k}) % {p} * {m} % {p})"
         return f"(({x} * {x} + {k}) % {p} * {m} % {p})"
 
-    known = "coalesce(doc_id, -1)"
-    high = spread(f"((floor({known} / 2147483648.0)::BIGINT % {p} + {p}) % {p})", "7")
-    bucket = spread(f"((({known} % {p} + {p}) % {p} + {high}) % {p})", "11")
+    bucket = "('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), size, text_crc32)), 1, 8))::BIGINT"
     rounds, last = [], "f0"
     for i, key in enumerate(sharding.ROUND_KEYS):
         rounds.append(f"l{i} AS (SELECT *, (l + {spread('r', str(key))}) % a AS l2 FROM {last})")
@@ -109,7 +107,7 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 ORACLES["op4_feistel_sharding"] = _sharding()
 
 _RATIO = f"[{', '.join(str(float(w)) for w in mixing.WEIGHTS)}]"
-ORACLES["op5_source_mixing"] = f"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+ORACLES["op5_source_mixing"] = f"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(coalesce(text, '')) AS digest FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, {_RATIO}[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight FROM d GROUP BY 1),
 -- targets above the ceiling are set to it and the rest is shared again, until none is above
 f AS (SELECT 0 AS round, source, source_size, weight, false AS fixed FROM s UNION ALL
@@ -118,7 +116,7 @@ f AS (SELECT 0 AS round, source, source_size, weight, false AS fixed FROM s UNIO
 e AS (SELECT *, ({mixing.BUDGET} * sum(source_size) OVER () - coalesce(sum({mixing.CEILING} * source_size) FILTER (fixed) OVER (), 0)) / nullif(sum(weight) FILTER (NOT fixed) OVER (), 0) AS level FROM f WHERE round = (SELECT max(round) FROM f)),
 t AS (SELECT source, source_size, (CASE WHEN fixed THEN {mixing.CEILING} * source_size ELSE weight * level END)::DOUBLE AS target FROM e),
 c AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-  ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0 AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest), 1, 8))::BIGINT / 4294967296.0 AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (floor(rate) + (u < rate - floor(rate))::INT)::BIGINT * size AS taken, (floor(rate) + (u < rate - floor(rate))::INT)::INT AS copies FROM c"""
 
 ORACLES["op7_embedding_near_dedup"] = f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
