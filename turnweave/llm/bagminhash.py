@@ -136,7 +136,7 @@ def _tokens(texts: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(token))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), lists], ["node", "tokens"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, tokens array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, tokens array<long>")
 
 
 def bridges(group: np.ndarray, block: np.ndarray, tokens: np.ndarray, ends: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -208,7 +208,7 @@ def _open_pairs(members: DataFrame, linked: DataFrame, tokens: DataFrame, thresh
     met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = rest.select("key", "node", "component", "block", "blocks").join(tokens, "node").select("key", "component", "block", "tokens", met)
     tiles = dealt.select("key", "component", "block", "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return tiles.groupBy("key", "i", "j").applyInArrow(lambda table: _tile(table, threshold), "a binary, b binary").distinct()
+    return tiles.groupBy("key", "i", "j").applyInArrow(lambda table: _tile(table, threshold), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -218,7 +218,7 @@ def near_duplicates(
     """One row per document: its key, `head` (the row of its class that stays) and `kept`.
 
     1. Texts with equal words become one node.
-    2. In each band bucket every member is verified against one leader, the least digest,
+    2. In each band bucket every member is verified against one leader, the least node,
        which is the same in all buckets that hold it: pairs repeat and collapse.
     3. Verified links give components. In buckets whose other members lie in several
        components, these are compared block by block (`bridges`), so no pair of a
@@ -230,13 +230,13 @@ def near_duplicates(
     space = Workspace(docs.sparkSession, "bagminhash")
     prints = space.table(fingerprints(docs, id_col, text_col, bands, rows, size), "prints")
     order = F.struct(F.col(ID).isNull().alias("none"), F.col(ID).alias("id"), F.col(HASH).alias("hash"))
-    worded = prints.where("node is not null")
-    nodes = worded.groupBy("node").agg(F.min(order).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = space.table(nodes, "nodes")
+    worded = prints.where("node is not null").withColumnRenamed("node", "digest")
+    nodes = worded.groupBy("digest").agg(F.min(order).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = space.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # short numbers from here on, fixed by being written
 
     buckets = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    heads = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("members")).where("members > 1")
-    heads = space.table(heads.select("key", F.col("h.node").alias("leader"), F.col("h.n").alias("leader_n")), "heads")
+    heads = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    heads = space.table(heads.select("key", "leader"), "heads")
     members = space.table(buckets.join(heads, "key").where("node <> leader"), "members")
 
     wanted = members.select("node").union(heads.select("leader")).distinct()
@@ -246,7 +246,8 @@ def near_duplicates(
     found = found.join(wanted, (found[HASH] == wanted["w_hash"]) & found[ID].eqNullSafe(wanted["w_id"]))
     tokens = space.table(_tokens(found.select("node", "text").dropDuplicates(["node"]), size), "tokens")
 
-    asked = members.where(F.least("n", "leader_n") / F.greatest("n", "leader_n") >= threshold).select("leader", "node", "n", "leader_n").distinct()
+    asked = members.select("leader", "node", "n").distinct().join(nodes.select(F.col("node").alias("leader"), F.col("n").alias("leader_n")), "leader")
+    asked = space.table(asked.where(F.least("n", "leader_n") / F.greatest("n", "leader_n") >= threshold), "asked")
     pairs = asked.join(tokens.withColumnRenamed("tokens", "held"), "node").join(tokens.select(F.col("node").alias("leader"), "tokens"), "leader")
     common = F.size(F.array_intersect("held", "tokens"))
     links = pairs.where(common / (F.col("n") + F.col("leader_n") - common) >= threshold).select(F.col("leader").alias("a"), F.col("node").alias("b"))
@@ -259,7 +260,7 @@ def near_duplicates(
     several = space.table(nodes.select("node", "head").join(several, "node"), "joined")
     least = several.groupBy("component").agg(F.min("head").alias("class_head"))
     grouped = several.join(least, "component").select("node", "class_head")
-    classes = nodes.select("node", "head").join(grouped, "node", "left").select("node", F.coalesce("class_head", "head").alias("head"))
+    classes = nodes.select("node", "digest", "head").join(grouped, "node", "left").select(F.col("digest").alias("node"), F.coalesce("class_head", "head").alias("head"))
     out = prints.select(ID, HASH, "node").join(space.table(classes, "classes"), "node", "left")
     out = out.withColumn("head", F.coalesce("head", order))
     out = out.select(ID, HASH, "head", (F.col("head.id").eqNullSafe(F.col(ID)) & (F.col("head.hash") == F.col(HASH))).alias("kept"))

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULT = "file:///tmp/turnweave-shared"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +43,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage, survives lost executors and gives the planner exact sizes.
     """
+    return _written(df, new_folder(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """`df` written to `path` and read back; once it is written, nothing needs its shuffle files, and Spark is told to remove them."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,8 +68,7 @@ class Workspace:
         """`df` written under the folder and read back."""
         self.made += 1
         path = f"{self.path}/{self.made:03d}-{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return _written(df, path)
 
     def result(self, df: DataFrame) -> DataFrame:
         """`df` as a table of its own, which stays for whoever reads it; all others are deleted."""
