@@ -1,7 +1,12 @@
-"""Column expressions over labels, texts and numbers. Arguments and results are SQL text, so they nest in lambdas."""
+"""Column expressions over labels, texts and numbers. Those with SQL text for arguments and results nest in lambdas."""
 
 from __future__ import annotations
 
+import unicodedata
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from turnweave.schema import ACTIONS, MOVES, ROLE_ACTIONS, TRUSTED
 
 WORDS = r"[\\p{L}\\p{N}_]+"
@@ -35,8 +40,40 @@ def words(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '{WORDS}', 0)"
 
 
+def _marked() -> dict[str, str]:
+    """Lower-case letters that are a letter from a to z under one combining mark, and that letter; letters under two marks stay."""
+    apart = ((chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x1F00))
+    return {c: d[0] for c, d in apart if len(d) == 2 and "a" <= d[0] <= "z" and unicodedata.combining(d[1])}
+
+
+MARKED = _marked()
+
+
+def plain(text: str) -> str:
+    """Lower case, single marks taken off."""
+    return text.lower().translate(str.maketrans(MARKED))
+
+
+def plain_column(x: Column) -> Column:
+    return F.translate(F.lower(x), "".join(MARKED), "".join(MARKED.values()))
+
+
 def terms(x: str) -> str:
-    return f"regexp_extract_all(lower({x}), '{TERMS}', 0)"
+    return f"regexp_extract_all(translate(lower({x}), '{''.join(MARKED)}', '{''.join(MARKED.values())}'), '{TERMS}', 0)"
+
+
+# What counts as white space when texts are compared, ASCII separators and all Unicode spaces.
+SPACES = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+
+
+def stripped(x: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(x, f"^{SPACES}+|{SPACES}+$", "")
+
+
+def single_spaced(x: Column) -> Column:
+    """Stripped, with every inner run of white space as one blank."""
+    return F.regexp_replace(stripped(x), f"{SPACES}+", " ")
 
 
 def entropy(values: str) -> str:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnweave.functions.labels import plain, plain_column
+
 K1, B = 1.2, 0.75
 MAX_TERMS = 16
 
@@ -21,10 +23,6 @@ def safe_terms(query: str) -> list[str]:
     return re.findall(r"[^\W_]+", query)[:MAX_TERMS]
 
 
-def folded(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.lower(t))
-
-
 def postings(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     """(doc, token, tf, length)."""
     rows = docs.select(F.col(id_col).alias("doc"), F.size(tokens_col).alias("length"), F.explode(tokens_col).alias("token"))
@@ -72,10 +70,10 @@ def phrase_tf(parts: Column, phrase: list[str]) -> Column:
 def score_phrases(docs: DataFrame, terms: list[str], id_col: str = "doc", tokens_col: str = "tokens") -> DataFrame:
     """(doc, score) in the phrase mode, for the distinct terms of one query."""
     spark = SparkSession.getActiveSession()
-    phrases = [p for p in dict.fromkeys(tuple(x for x in t.lower().split("_") if x) for t in terms) if p]
+    phrases = [p for p in dict.fromkeys(tuple(x for x in plain(t).split("_") if x) for t in terms) if p]
     if not phrases:
         return spark.createDataFrame([], f"doc {docs.schema[id_col].dataType.simpleString()}, score double")
-    parts = F.flatten(F.transform(tokens_col, lambda t: F.filter(F.split(F.lower(t), "_"), lambda x: x != "")))
+    parts = F.flatten(F.transform(tokens_col, lambda t: F.filter(F.split(plain_column(t), "_"), lambda x: x != "")))
     rows = docs.select(F.col(id_col).alias("doc"), parts.alias("parts"))
     rows = rows.select("doc", F.size("parts").alias("length"), *[phrase_tf(F.col("parts"), list(p)).alias(f"t{i}") for i, p in enumerate(phrases)])
     sums = rows.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"), *[F.sum((F.col(f"t{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(phrases))])

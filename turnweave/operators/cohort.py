@@ -69,7 +69,7 @@ def example(cohort: DataFrame) -> DataFrame:
 
 
 def nearest(rows: DataFrame, pointers: DataFrame, width: float, height: float, cell: float = 18.0, reach: float = 10.0) -> DataFrame:
-    """(pointer, episode_id, distance): the nearest episode within `reach` pixels.
+    """(pointer, episode_id, distance): the nearest episode nearer than `reach` pixels.
 
     Both sides go to grid cells; a pointer asks its nine neighbours by an equi-join.
     """
@@ -79,5 +79,5 @@ def nearest(rows: DataFrame, pointers: DataFrame, width: float, height: float, c
     around = around.select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("dy"))
     around = around.withColumns({"gx": F.floor(F.col("qx") / cell) + F.col("dx"), "gy": F.floor(F.col("qy") / cell) + F.col("dy")})
     near = around.join(points, ["gx", "gy"]).withColumn("distance", F.hypot(F.col("px") - F.col("qx"), F.col("py") - F.col("qy")))
-    best = near.where(F.col("distance") <= reach).groupBy("pointer").agg(F.min(F.struct("distance", "episode_id")).alias("b"))
+    best = near.where(F.col("distance") < reach).groupBy("pointer").agg(F.min(F.struct("distance", "episode_id")).alias("b"))
     return best.select("pointer", F.col("b.episode_id").alias("episode_id"), F.col("b.distance").alias("distance"))

@@ -57,16 +57,17 @@ def described(episodes: DataFrame) -> DataFrame:
 
 
 def pair_census(rows: DataFrame) -> DataFrame:
-    """(corpus, from_move, to_move, n, place): pairs of every episode, most frequent first, ties by first encounter.
+    """(corpus, from_move, to_move, n, place): pairs of every episode, most frequent first, ties by first encounter
+    in the order of conversation ids, starts and edges.
 
     Overlapping episodes count a link each, by design. The first encounter is a minimum,
     so no list of encounters is gathered.
     """
     from pyspark.sql import Window
 
-    every = rows.select("corpus", "ordinal", "start", F.posexplode("pairs").alias("k", "p"))
+    every = rows.select("corpus", "conv_id", "start", F.posexplode("pairs").alias("k", "p"))
     counted = every.groupBy("corpus", F.col("p.from_move").alias("from_move"), F.col("p.to_move").alias("to_move"))
-    counted = counted.agg(F.count("*").alias("n"), F.min(F.struct("ordinal", "start", "k")).alias("first"))
+    counted = counted.agg(F.count("*").alias("n"), F.min(F.struct("conv_id", "start", "k")).alias("first"))
     place = F.row_number().over(Window.partitionBy("corpus").orderBy(F.desc("n"), "first"))  # at most 169 rows a corpus
     return counted.select("corpus", "from_move", "to_move", "n", place.alias("place"))
 

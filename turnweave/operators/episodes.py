@@ -57,7 +57,7 @@ def with_content(episodes: DataFrame, lib: Library, width: int = WIDTH, stride:
         F.array_sort(F.collect_list(F.expr(f"CASE WHEN {inside} THEN struct(ord, source - start AS source, target - start AS target, type, provenance) END"))).alias("edges"),
         F.array_sort(F.collect_list(F.expr(f"CASE WHEN NOT ({inside}) THEN struct(ord, source, target, type, provenance) END"))).alias("external_edges"),
     )
-    none = F.array().cast("array<struct<ord:int,source:int,target:int,type:string,provenance:string>>")
+    none = F.array().cast(EDGES)
     joined = episodes.join(turns, ["conv_id", "start"]).join(edges, ["conv_id", "start"], "left")
     joined = joined.withColumn("edges", F.coalesce("edges", none)).withColumn("external_edges", F.coalesce("external_edges", none))
     return canonical(joined).withColumn("trusted", F.expr(f"filter(edges, e -> {trusted('e.provenance')})"))
@@ -70,8 +70,25 @@ def canonical(episodes: DataFrame) -> DataFrame:
     return episodes.withColumn("known", F.expr(known)).withColumn("turns", F.expr(renamed)).drop("known")
 
 
+EDGES = "array<struct<ord:int,source:int,target:int,type:string,provenance:string>>"
+
+
+def whole_conversations(lib: Library) -> DataFrame:
+    """Every conversation as one episode row from its first turn to its last."""
+    turns = lib.turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.expr("struct(pos AS i, pos, speaker, action, annotation, coalesce(text, '') AS text)"))).alias("turns"))
+    edges = lib.edges.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.expr("struct(ord, source, target, type, provenance)"))).alias("edges"))
+    rows = lib.conversations.select("conv_id", "corpus", "ordinal", F.lit(0).alias("start")).join(turns, "conv_id").join(edges, "conv_id", "left")
+    rows = rows.withColumn("edges", F.coalesce("edges", F.array().cast(EDGES))).withColumn("stop", F.size("turns"))
+    return canonical(rows).withColumn("trusted", F.expr(f"filter(edges, e -> {trusted('e.provenance')})"))
+
+
 def slice_conversation(lib: Library, conv_id: str, start: int, stop: int, turns: DataFrame | None = None) -> DataFrame:
-    """One episode row for any bounds of one conversation; `stop` is cut to its length, a start outside gives no row."""
+    """One episode row for any bounds of one conversation; `stop` is cut to its length.
+
+    An empty or negative range is an error; a start past the end gives no row.
+    """
+    if not 0 <= start < stop:
+        raise ValueError(f"no turns in {start}..{stop}")
     bounds = lib.conversations.where(F.col("conv_id") == conv_id).select("conv_id", "corpus", F.lit(start).alias("start"), F.lit(stop).alias("stop"))
     source = lib.turns if turns is None else turns
     t = source.where(F.col("conv_id") == conv_id).where(f"pos >= {start} AND pos < {stop}")
@@ -83,7 +100,7 @@ def slice_conversation(lib: Library, conv_id: str, start: int, stop: int, turns:
         F.array_sort(F.collect_list(F.expr(f"CASE WHEN {inside} THEN struct(ord, source - {start} AS source, target - {start} AS target, type, provenance) END"))).alias("edges"),
         F.array_sort(F.collect_list(F.expr(f"CASE WHEN NOT ({inside}) THEN struct(ord, source, target, type, provenance) END"))).alias("external_edges"),
     )
-    none = F.array().cast("array<struct<ord:int,source:int,target:int,type:string,provenance:string>>")
+    none = F.array().cast(EDGES)
     joined = bounds.join(turns_row, "conv_id").join(edges_row, "conv_id", "left")
     joined = joined.withColumn("edges", F.coalesce("edges", none)).withColumn("external_edges", F.coalesce("external_edges", none))
     joined = joined.withColumn("stop", F.expr("start + size(turns)"))

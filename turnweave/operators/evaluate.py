@@ -28,7 +28,7 @@ def mean_metrics(per_query: DataFrame) -> DataFrame:
     return per_query.agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in ("p5", "p10", "success10", "rr10")])
 
 
-def bootstrap(values: DataFrame, column: str, draws: int = 2000, seed: int = 20260923) -> DataFrame:
+def bootstrap(values: DataFrame, column: str, draws: int = 2000, seed: int = 577) -> DataFrame:
     """(mean, low, high): a percentile interval of the mean over `draws` resamples.
 
     A resample of n values with replacement gives every value a count that is nearly

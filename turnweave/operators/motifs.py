@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnweave.functions.labels import single_spaced, stripped, trusted
 from turnweave.operators.graphs import components
 from turnweave.schema import Library
 
+SEED = 577
+
 
 def motifs(lib: Library) -> DataFrame:
-    """(conv_id, key, nodes): two edges on exactly three turns, first occurrence of each key in a conversation.
+    """(conv_id, key, nodes, at): two edges on exactly three turns, first occurrence of each key in a conversation; `at` numbers the edges.
 
     All edges count. The key holds the three actions, the speakers renamed within the motif
     and the relabelled edges. A pair of edges shares a turn, so pairs come from an equi-join
@@ -31,7 +34,7 @@ def motifs(lib: Library) -> DataFrame:
     shown = f"transform(array_sort(array({edge('a')}, {edge('b')})), e -> concat(e.source, '>', e.target, ':', e.type))"
     key = f"concat_ws('|', array_join(array(x0, x1, x2), ','), array_join({voices}, ','), array_join({shown}, ','))"
     keyed = pairs.select("conv_id", F.expr(key).alias("key"), "nodes", F.struct("a_ord", "b_ord").alias("at"))
-    return keyed.groupBy("conv_id", "key").agg(F.min_by("nodes", "at").alias("nodes"))
+    return keyed.groupBy("conv_id", "key").agg(F.min_by("nodes", "at").alias("nodes"), F.min("at").alias("at"))
 
 
 def motif_index(found: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def motif_index(found: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.countDistinct("conv_id").alias("conversations"))
 
 
-def motif_queries(found: DataFrame, index: DataFrame, least: int = 2, most: int = 100, limit: int = 200, seed: int = 20260923) -> DataFrame:
+def motif_queries(found: DataFrame, index: DataFrame, least: int = 2, most: int = 100, limit: int = 200, seed: int = SEED) -> DataFrame:
     """(conv_id, key): one hash-chosen eligible motif of each conversation, in a hash order, up to `limit`."""
     good = found.join(index.where(F.col("conversations").between(least, most)), "key")
     chosen = good.groupBy("conv_id").agg(F.min_by("key", F.xxhash64(F.lit(seed), "conv_id", "key")).alias("key"))
@@ -47,9 +50,8 @@ def motif_queries(found: DataFrame, index: DataFrame, least: int = 2, most: int
 
 
 def utterances(turns: DataFrame, least: int = 20) -> DataFrame:
-    """(conv_id, utterance): distinct normalised texts of `least` raw characters or more."""
-    text = F.regexp_replace(F.trim(F.lower("text")), r"\s+", " ")
-    return turns.where(F.length(F.trim("text")) >= least).select("conv_id", text.alias("utterance")).distinct()
+    """(conv_id, utterance): distinct single-spaced lower-case texts of `least` characters or more without outer white space."""
+    return turns.where(F.length(stripped(F.col("text"))) >= least).select("conv_id", single_spaced(F.lower("text")).alias("utterance")).distinct()
 
 
 def similar_conversations(turns: DataFrame, shared: int = 4, part: float = 0.8) -> DataFrame:
@@ -94,8 +96,8 @@ def family_filter(turns: DataFrame, split: DataFrame) -> DataFrame:
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """(conv_id, digest): SHA-256 of the trimmed lower-case texts joined by spaces."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.trim(F.lower(F.coalesce("text", F.lit("")))).alias("t"))))
+    """(conv_id, digest): SHA-256 of the lower-case texts without outer white space, joined by blanks."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", stripped(F.lower(F.coalesce("text", F.lit("")))).alias("t"))))
     return turns.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["t"]), " "), 256).alias("digest"))
 
 
@@ -106,10 +108,10 @@ def drop_exact_duplicates(turns: DataFrame, split: DataFrame) -> DataFrame:
     return d.where("split <> 'train'").join(train, "digest", "left_anti").select("conv_id")
 
 
-def rewired(episodes: DataFrame, seed: int = 20260923) -> DataFrame:
-    """`episodes` with `rewired`: the trusted edges with the first re-routable one sent to another earlier turn."""
-    at = "array_position(transform(trusted, e -> e.source >= 2 OR (e.source = 1 AND e.target <> 0)), true)"
-    other = f"filter(sequence(0, greatest(trusted[{at} - 1].source - 1, 0)), i -> i <> trusted[{at} - 1].target)"
+def rewired(episodes: DataFrame, seed: int = SEED) -> DataFrame:
+    """`episodes` that have a re-routable edge, with `rewired`: the trusted edges after the first such edge, trusted or not, answers another earlier turn."""
+    at = "array_position(transform(edges, e -> e.source >= 2 OR (e.source = 1 AND e.target <> 0)), true)"
+    other = f"filter(sequence(0, greatest(edges[{at} - 1].source - 1, 0)), i -> i <> edges[{at} - 1].target)"
     pick = f"element_at({other}, cast(pmod(xxhash64({seed}, conv_id, start), size({other})) + 1 AS INT))"
-    moved = f"transform(trusted, (e, i) -> CASE WHEN i = {at} - 1 THEN struct(e.ord, e.source, {pick} AS target, e.type, e.provenance) ELSE e END)"
-    return episodes.where(f"{at} > 0").withColumn("rewired", F.expr(moved))
+    moved = f"transform(edges, (e, i) -> CASE WHEN i = {at} - 1 THEN struct(e.ord, e.source, {pick} AS target, e.type, e.provenance) ELSE e END)"
+    return episodes.where(f"{at} > 0").withColumn("rewired", F.expr(f"filter({moved}, e -> {trusted('e.provenance')})"))

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnweave.functions.labels import terms
+from turnweave.functions.labels import plain, terms
 from turnweave.operators import align, atlas, bm25, conversations, describe, episodes
 from turnweave.operators.sinks import staged
 from turnweave.schema import Library
@@ -68,7 +68,7 @@ def search(c: Collection, q: str = "", corpus: str = "", motif: str = "", limit:
     if not 1 <= limit <= 60:
         raise ValueError("limit must be between 1 and 60")
     rows = conversations.matching(c.library, c.brief, corpus, motif, c.variant_corpora, c.clarify_corpora)
-    words = [t.lower() for t in bm25.safe_terms(q)]
+    words = [plain(t) for t in bm25.safe_terms(q)]
     if not words:
         return rows.where("nturns >= 4").orderBy("id").limit(limit)
     spark = c.brief.sparkSession
@@ -100,9 +100,9 @@ def match(
     n = _one(lib.turns.where(F.col("conv_id") == conv_id), "conversation").count()
     stop = min(start + 12, n) if stop is None else stop
     if not 0 <= start < stop <= n or stop - start > MAX_SELECTED:
-        raise ValueError("select between 1 and 24 turns within the conversation")
+        raise ValueError(f"turns {start}..{stop} are not 1 to {MAX_SELECTED} turns of this conversation of {n}")
     if any(not 0 <= t < n for t in overrides):
-        raise ValueError("annotation turn outside conversation")
+        raise ValueError(f"an override names a turn that is not among the {n} of this conversation")
     turns = lib.turns.where(F.col("conv_id") == conv_id)
     if overrides:
         turns = conversations.overlay(turns, spark.createDataFrame(list(overrides.items()), "turn int, action string"))

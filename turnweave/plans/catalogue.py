@@ -6,13 +6,14 @@ places, since sums of doubles depend on their order.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.functions import labels as L
-from turnweave.operators import align, atlas, bm25, cohort, conversations, describe, episodes, evaluate, layout, motifs, sinks
+from turnweave.operators import align, atlas, bm25, cohort, conversations, describe, episodes, evaluate, experiment, layout, motifs, sinks
 from turnweave.plans import api
 from turnweave.plans.oracles import ORACLES
 from turnweave.schema import FIELDS, MOVES, Library
@@ -57,6 +58,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
 
 
+def _name(spark: SparkSession, sf_dir: str) -> str:
+    """A folder name that is the same for every run of this application over these tables."""
+    return f"{spark.sparkContext.applicationId}-{zlib.crc32(sf_dir.encode()):08x}"
+
+
 def _turns_out(lib: Library) -> DataFrame:
     return lib.turns.select(*adapters.TURN)
 
@@ -118,7 +124,7 @@ def j_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "conversations")
     rows = c.groupBy("conv_id").agg(F.expr("transform(array_sort(collect_list(struct(turn, role, text))), x -> struct(x.role AS role, x.text AS content)) AS conversation"))
-    every = rows.selectExpr("conv_id AS ordinal", "conversation", "conv_id % 11 = 3 AS toxic")
+    every = rows.selectExpr("conv_id AS ordinal", "conversation", "CASE conv_id % 11 WHEN 3 THEN true WHEN 5 THEN true WHEN 4 THEN NULL ELSE false END AS toxic")
     return every.union(rows.where("conv_id % 3 = 0").selectExpr("conv_id + 1000000 AS ordinal", "conversation", "false AS toxic"))
 
 
@@ -201,7 +207,7 @@ def sink_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each table of an index after writing and reading it back."""
     lib = library(spark, sf_dir)
     eps = episodes.windows(lib)
-    path = f"{sinks.shared_folder(spark)}/index-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    path = f"{sinks.shared_folder(spark)}/index-{_name(spark, sf_dir)}"
     sinks.write_index(lib, eps, conversations.corpus_stats(lib, eps), path)
     read, eps, stats = sinks.read_index(spark, path)
     parts = {"conversations": read.conversations, "turns": read.turns, "edges": read.edges, "episodes": eps, "stats": stats}
@@ -214,14 +220,18 @@ def sink_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sink_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_stats(spark, sf_dir)
+    """The statistics' JSON after writing and reading it back."""
+    lib = library(spark, sf_dir)
+    path = f"{sinks.shared_folder(spark)}/stats-{_name(spark, sf_dir)}"
+    sinks.write_stats(conversations.corpus_stats(lib, episodes.windows(lib)), path)
+    return spark.read.schema("corpus string, json string").json(sinks.current(spark, path))
 
 
 @query
 def sink_atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sinks.shared_folder(spark)}/atlas-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    path = f"{sinks.shared_folder(spark)}/atlas-{_name(spark, sf_dir)}"
     sinks.write_atlas(_map(spark, sf_dir).select("episode_id", "corpus", "turn_count", "flags"), path)
-    return spark.read.parquet(path).groupBy("corpus").agg(F.count("*").alias("n"), F.sum("flags").alias("flags"))
+    return sinks.read_atlas(spark, path).groupBy("corpus").agg(F.count("*").alias("n"), F.sum("flags").alias("flags"))
 
 
 @query
@@ -233,8 +243,10 @@ def sink_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sink_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked = cohort.lens(_described(spark, sf_dir), 5)
-    return sinks.cohort_json(picked, cohort.metrics(picked).select("n"), {"lens": "5"})
+    """A cohort's export beside the pinned cohort of the lens 2."""
+    rows = _described(spark, sf_dir)
+    picked, pinned = cohort.lens(rows, 5), cohort.lens(rows, 2)
+    return sinks.cohort_json(picked, cohort.metrics(picked).select("n"), {"lens": "5"}, cohort.metrics(pinned).select("n"))
 
 
 # --- Projections -------------------------------------------------------------------------
@@ -437,7 +449,7 @@ def j_range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads of nine whose texts are coarse enough that some share most utterances."""
     e = _events(spark, sf_dir)
-    return e.selectExpr("concat('f:', event_id DIV 9) AS conv_id", "cast(event_id % 9 AS INT) AS pos", "concat('a turn about ', event_type, ' by ', (event_id DIV 9) % 97, ' at ', CASE WHEN user_id % 10 = 0 THEN user_id ELSE event_id % 9 END) AS text")
+    return e.selectExpr("concat('f:', event_id DIV 9) AS conv_id", "cast(event_id % 9 AS INT) AS pos", "concat(CASE event_id % 4 WHEN 1 THEN '\\n\\t' WHEN 2 THEN '\u00a0' ELSE '' END, 'a turn', CASE WHEN event_id % 3 = 0 THEN ' \\n' ELSE ' ' END, 'about ', event_type, ' by ', (event_id DIV 9) % 97, ' at ', CASE WHEN user_id % 10 = 0 THEN user_id ELSE event_id % 9 END, CASE WHEN event_id % 5 = 0 THEN '\\r\\n' ELSE '' END) AS text")
 
 
 @query
@@ -459,7 +471,7 @@ def _split(turns: DataFrame) -> DataFrame:
 
 
 def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).selectExpr("concat('d:', event_id DIV 2) AS conv_id", "cast(event_id % 2 AS INT) AS pos", "concat(' ', upper(event_type), user_id % 4) AS text")
+    return _events(spark, sf_dir).selectExpr("concat('d:', event_id DIV 2) AS conv_id", "cast(event_id % 2 AS INT) AS pos", "concat(CASE WHEN event_id % 3 = 0 THEN '\\n ' ELSE ' ' END, upper(event_type), user_id % 4, CASE WHEN event_id % 7 = 0 THEN cast(event_id AS STRING) ELSE '' END, CASE WHEN event_id % 2 = 0 THEN '\\t' ELSE '' END) AS text")
 
 
 @query
@@ -676,7 +688,7 @@ def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def safe_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search terms of every part name with hostile characters around it."""
-    text = "concat('\" OR * NEAR (', p_name, ')_', p_type)"
+    text = "concat('^x AND \"', p_name, '*)_', p_type)"
     return _table(spark, sf_dir, "part").selectExpr("p_partkey", f"array_join(slice({L.terms(text)}, 1, {bm25.MAX_TERMS}), ' OR ') AS terms")
 
 
@@ -710,7 +722,7 @@ def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = library(spark, sf_dir)
-    words = conversations.conversation_text(lib).selectExpr("conv_id AS id", "filter(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]{2,}', 0), w -> true) AS words")
+    words = conversations.conversation_text(lib).selectExpr("conv_id AS id", "filter(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]{2,}', 0) AS words")
     asked = spark.createDataFrame([(q, q.lower().split()) for q in ("error 19 purchase", "view click signup")], "id string, words array<string>")
     return bm25.tfidf(words, asked).select("query", "doc", *_r6("score"))
 
@@ -822,12 +834,19 @@ def family_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rewire_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment of every episode with itself and with one edge rerouted."""
-    eps = motifs.rewired(_episodes(spark, sf_dir)[1])
-    pair = lambda edges: eps.select("episode_id", F.col("turns").alias("q_turns"), F.col("trusted").alias("q_trusted"), F.col("turns").alias("c_turns"), F.col(edges).alias("c_trusted"))
-    own = align.aligned(pair("trusted"), True, ("episode_id",)).select("episode_id", F.col("score").alias("own"))
-    other = align.aligned(pair("rewired"), True, ("episode_id",)).select("episode_id", F.col("score").alias("other"))
-    return own.join(other, "episode_id").agg(F.count("*").alias("n"), F.avg((F.col("own") - F.col("other") > 1e-9).cast("double")).alias("preferred"))
+    """Alignment of every episode with itself and with one edge re-routed, with and without edges."""
+    return experiment.rewiring(_episodes(spark, sf_dir)[1])
+
+
+@query
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of three rankings for known-answer motif queries; every fifth conversation is for testing."""
+    return experiment.run(library(spark, sf_dir)).per_query
+
+
+@query
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiment.report(experiment.run(library(spark, sf_dir)))
 
 
 @query

@@ -74,7 +74,7 @@ d AS (
     (speakers >= 3)::INT + 2 * (coalesce(far, 0) > 0)::INT + 4 * (clarify > 0)::INT + 8 * (coalesce(branch, 0) > 0)::INT + 16 * (coalesce(m, 0) > 0)::INT AS flags,
     round(mean_lag, 3) AS reach, round(1 - unknown / n, 4) AS known, coalesce(mean_lag, 0) / greatest(1, n - 1) AS x, sp.top / n AS y
   FROM base b JOIN adj USING (episode_id) JOIN sp USING (episode_id) JOIN ac USING (episode_id) LEFT JOIN lg USING (episode_id) LEFT JOIN br USING (episode_id)),
-prs AS (SELECT te.episode_id, e.corpus, e.ordinal, e.start, te.ord, a.move AS from_move, b.move AS to_move
+prs AS (SELECT te.episode_id, e.corpus, e.conv_id, e.start, te.ord, a.move AS from_move, b.move AS to_move
   FROM te JOIN eps e USING (episode_id) JOIN mv a ON a.episode_id = te.episode_id AND a.i = te.target JOIN mv b ON b.episode_id = te.episode_id AND b.i = te.source)
 """
 )
@@ -113,7 +113,7 @@ ORACLES["src_deli"] = UTTER + """ SELECT 'deli:' || c AS conv_id, (row_number()
   CASE user_id % 3 WHEN 0 THEN 'probe' WHEN 1 THEN 'social' ELSE 'unseen' END AS action, 'human-deliberation' AS annotation,
   CASE user_id % 3 WHEN 0 THEN 'Probing' WHEN 1 THEN 'Non-deliberation' ELSE 'unseen' END AS native_label FROM u WHERE event_type <> 'view'"""
 ORACLES["src_wildchat"] = """WITH t AS (SELECT conv_id, list([role, text] ORDER BY turn)::VARCHAR AS body FROM conversations GROUP BY 1),
-r AS (SELECT conv_id AS ordinal, conv_id, body FROM t WHERE conv_id % 11 <> 3 UNION ALL SELECT conv_id + 1000000, conv_id, body FROM t WHERE conv_id % 3 = 0),
+r AS (SELECT conv_id AS ordinal, conv_id, body FROM t WHERE conv_id % 11 NOT IN (3, 5) UNION ALL SELECT conv_id + 1000000, conv_id, body FROM t WHERE conv_id % 3 = 0),
 k AS (SELECT min(ordinal) AS ordinal, arg_min(conv_id, ordinal) AS conv_id FROM r GROUP BY body)
 SELECT k.ordinal, c.turn::INT AS pos, c.role AS speaker, c.role AS action, 'source-role' AS annotation, coalesce(c.text, '') AS text FROM k JOIN conversations c USING (conv_id)"""
 PRISM = """WITH s AS (SELECT event_id // 12 AS c, ((event_id % 12) // 3)::INT AS round, event_id % 3 AS k, event_type || ' ' || props AS content, 'm' || (user_id % 4) AS model, (user_id % 100)::DOUBLE AS score,
@@ -146,7 +146,7 @@ ORACLES["scan_meta"] = STATS + """SELECT unnest(['conversations', 'turns', 'edge
 ORACLES["sink_index"] = STATS + """SELECT 'conversations' AS name, count(*) AS n FROM convs UNION ALL SELECT 'turns', count(*) FROM turns UNION ALL SELECT 'edges', count(*) FROM edges
 UNION ALL SELECT 'episodes', count(*) FROM eps UNION ALL SELECT 'stats', count(*) FROM cst"""
 ORACLES["sink_atlas"] = DESC + "SELECT corpus, count(*) AS n, sum(flags)::BIGINT AS flags FROM d GROUP BY 1"
-ORACLES["sink_cohort"] = DESC + """SELECT episode_id, '{"schema":"turnweave-cohort/1","episode_id":' || episode_id || ',"filters":{"lens":"5"},"metrics":{"n":' || count(*) OVER () || '}}' AS json FROM d WHERE (flags & 5) = 5"""
+ORACLES["sink_cohort"] = DESC + """SELECT episode_id, '{"schema":"turnweave-cohort/1","episode_id":' || episode_id || ',"filters":{"lens":"5"},"metrics":{"n":' || count(*) OVER () || '},"pinned":{"n":' || (SELECT count(*) FROM d WHERE (flags & 2) = 2) || '}}' AS json FROM d WHERE (flags & 5) = 5"""
 ORACLES["corpus_examples"] = LIB + """SELECT corpus, place::INT AS place, conv_id FROM (SELECT corpus, conv_id, row_number() OVER (PARTITION BY corpus ORDER BY ordinal) AS place FROM convs JOIN gs USING (conv_id)
   WHERE turns >= 4 AND nonadjacent >= 2 AND speakers >= 3) WHERE place <= 8"""
 
@@ -202,7 +202,7 @@ ranked AS (SELECT query, doc, round(sum(w), 6) AS score FROM ws JOIN qs USING (t
 """
 
 
-_TEXT_DOCS = "SELECT conv_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM turns"
+_TEXT_DOCS = "SELECT conv_id AS doc, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS token FROM turns"
 _ASKED = " UNION ALL ".join(f"SELECT '{q}' AS query, unnest({q.split()!r}) AS token" for q in ("error 19 purchase", "the purchase", "view k 42"))
 _TEXT = LIB + _bm25(_TEXT_DOCS, _ASKED)
 ORACLES["bm25"] = _TEXT + "SELECT query, doc, score FROM ranked"
@@ -224,16 +224,19 @@ ORACLES["j_edge_turns"] = LIB + """SELECT e.conv_id, source, target, type, a.act
 FROM edges e JOIN turns a ON a.conv_id = e.conv_id AND a.pos = source JOIN turns b ON b.conv_id = e.conv_id AND b.pos = target"""
 ORACLES["j_range_slice"] = LIB + """SELECT episode_id, true AS internal, source, target, type FROM ee UNION ALL
 SELECT e.episode_id, false, x.source, x.target, x.type FROM eps e JOIN edges x ON x.conv_id = e.conv_id AND x.source >= e.start AND x.source < e.stop AND NOT (x.target >= e.start AND x.target < e.stop)"""
-_FAM = "WITH f AS (SELECT 'f:' || (event_id // 9) AS conv_id, event_id // 9 AS ordinal, 'a turn about ' || event_type || ' by ' || ((event_id // 9) % 97) || ' at ' || CASE WHEN user_id % 10 = 0 THEN user_id ELSE event_id % 9 END AS text FROM events)"
-ORACLES["j_family"] = _FAM + " SELECT DISTINCT conv_id, regexp_replace(trim(lower(text)), '\\s+', ' ', 'g') AS utterance FROM f WHERE length(trim(text)) >= 20"
-ORACLES["family_filter"] = _FAM.replace("WITH f", "WITH RECURSIVE f") + """, u AS (SELECT DISTINCT conv_id, lower(text) AS t FROM f WHERE length(trim(text)) >= 20), n AS (SELECT conv_id, count(*) AS n FROM u GROUP BY 1),
+# texts as words between white space; the fixture's lines differ in nothing but that and their words
+_FAM = """WITH f AS (SELECT 'f:' || (event_id // 9) AS conv_id, event_id // 9 AS ordinal, 'a turn about ' || event_type || ' by ' || ((event_id // 9) % 97) || ' at ' || CASE WHEN user_id % 10 = 0 THEN user_id ELSE event_id % 9 END AS words,
+  words || CASE WHEN event_id % 3 = 0 THEN '+' ELSE '' END AS inner_length FROM events)"""
+ORACLES["j_family"] = _FAM + " SELECT DISTINCT conv_id, words AS utterance FROM f WHERE length(inner_length) >= 20"
+ORACLES["family_filter"] = _FAM.replace("WITH f", "WITH RECURSIVE f") + """, u AS (SELECT DISTINCT conv_id, words AS t FROM f WHERE length(inner_length) >= 20), n AS (SELECT conv_id, count(*) AS n FROM u GROUP BY 1),
 p AS (SELECT a.conv_id AS a, b.conv_id AS b, count(*) AS k FROM u a JOIN u b ON a.t = b.t AND a.conv_id <> b.conv_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.conv_id = a JOIN n y ON y.conv_id = b WHERE k >= 4 AND k >= 0.8 * least(x.n, y.n)),
 r AS (SELECT conv_id AS node, conv_id AS root FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
 fam AS (SELECT node AS conv_id, min(root) AS family FROM r GROUP BY 1),
 s AS (SELECT DISTINCT f.conv_id, f.ordinal, CASE WHEN f.ordinal % 5 = 0 THEN 'test' ELSE 'train' END AS split, coalesce(family, f.conv_id) AS family FROM f LEFT JOIN fam USING (conv_id))
 SELECT conv_id, split, row_number() OVER (PARTITION BY family ORDER BY split <> 'train', ordinal) = 1 AS kept FROM s"""
-_DUP = "WITH dg AS (SELECT 'd:' || (event_id // 2) AS conv_id, event_id // 2 AS ordinal, sha256(string_agg(lower(event_type) || (user_id % 4), ' ' ORDER BY event_id)) AS digest FROM events GROUP BY 1, 2)"
+_DUP = """WITH dg AS (SELECT 'd:' || (event_id // 2) AS conv_id, event_id // 2 AS ordinal,
+  sha256(string_agg(lower(event_type) || (user_id % 4) || CASE WHEN event_id % 7 = 0 THEN event_id::VARCHAR ELSE '' END, ' ' ORDER BY event_id)) AS digest FROM events GROUP BY 1, 2)"""
 ORACLES["exact_dup"] = _DUP + " SELECT conv_id, digest FROM dg"
 ORACLES["j_anti_dup"] = _DUP + " SELECT conv_id FROM dg WHERE ordinal % 5 = 0 AND digest NOT IN (SELECT digest FROM dg WHERE ordinal % 5 <> 0)"
 ORACLES["j_semi"] = LIB + "SELECT conv_id, corpus FROM convs WHERE conv_id IN (SELECT conv_id FROM edges WHERE type = 'QAP')"
@@ -249,7 +252,7 @@ ORACLES["descriptors"] = DESC + """SELECT episode_id, round(ln(1 + n), 6) AS log
 ORACLES["measures"] = DESC + "SELECT episode_id, n::INT AS turn_count, speakers::INT AS speakers, m::INT AS edge_count, far::INT AS nonadjacent, branch::INT AS branch, flags FROM d"
 ORACLES["entropy"] = DESC + "SELECT episode_id, round(sh, 6) AS speaker_entropy, round(ah, 6) AS action_entropy FROM d"
 ORACLES["pair_census"] = DESC + """SELECT corpus, from_move, to_move, n, row_number() OVER (PARTITION BY corpus ORDER BY n DESC, first)::INT AS place
-FROM (SELECT corpus, from_move, to_move, count(*) AS n, min(ROW(ordinal, start, ord)) AS first FROM prs GROUP BY 1, 2, 3)"""
+FROM (SELECT corpus, from_move, to_move, count(*) AS n, min(ROW(conv_id, start, ord)) AS first FROM prs GROUP BY 1, 2, 3)"""
 ORACLES["pathway_matrix"] = DESC + f""", ms AS (SELECT unnest({list(MOVES)!r}) AS m), t AS (SELECT from_move, to_move, count(*) AS n FROM prs GROUP BY 1, 2)
 SELECT a.m AS from_move, b.m AS to_move, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN round(0.12 + 0.84 * ln(1 + n) / ln(1 + (SELECT max(n) FROM t)), 6) ELSE 0.0 END::DOUBLE AS intensity
 FROM ms a CROSS JOIN ms b LEFT JOIN t ON t.from_move = a.m AND t.to_move = b.m"""
@@ -291,12 +294,12 @@ pd AS (SELECT phrase, count(*) FILTER (tf > 0) AS df FROM pt GROUP BY 1)
 SELECT doc, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
 FROM pt JOIN pd USING (phrase) CROSS JOIN pn WHERE tf > 0 GROUP BY 1"""
 ORACLES["bm25_phrase"] = TOKENS + _PARTS
-ORACLES["safe_fts"] = """SELECT p_partkey, array_to_string(regexp_extract_all(lower('" OR * NEAR (' || p_name || ')_' || p_type), '[\\p{L}\\p{N}]+')[1:16], ' OR ') AS terms FROM part"""
+ORACLES["safe_fts"] = """SELECT p_partkey, array_to_string(regexp_extract_all(lower('^x AND "' || p_name || '*)_' || p_type), '[\\p{L}\\p{N}]+')[1:16], ' OR ') AS terms FROM part"""
 ORACLES["topk_pair"] = DESC + """SELECT episode_id, speakers::INT AS speakers, n::INT AS turn_count FROM d WHERE corpus = 'threads' AND episode_id IN (SELECT episode_id FROM prs WHERE from_move = 'clarify' AND to_move = 'answer')
 ORDER BY speakers DESC, n, episode_id LIMIT 1"""
 ORACLES["nearest_point"] = DESC + f""", q AS (SELECT * FROM (VALUES (1, 300.0, 250.0), (2, 120.0, 400.0), (3, -50.0, 10.0)) v(pointer, qx, qy)),
 c AS (SELECT pointer, episode_id, sqrt(({_JX} * 1000 - qx) ** 2 + ({_JY} * 800 - qy) ** 2) AS distance FROM d CROSS JOIN q)
-SELECT pointer, arg_min(episode_id, ROW(distance, episode_id)) AS episode_id, round(min(distance), 6) AS distance FROM c WHERE distance <= 10 GROUP BY 1"""
+SELECT pointer, arg_min(episode_id, ROW(distance, episode_id)) AS episode_id, round(min(distance), 6) AS distance FROM c WHERE distance < 10 GROUP BY 1"""
 _GRAMS = "SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM "
 ORACLES["tfidf"] = LIB + f""", dw AS (SELECT conv_id AS id, regexp_extract_all(string_agg(lower(text), chr(10) ORDER BY pos), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM turns GROUP BY 1),
 qw AS (SELECT 'error 19 purchase' AS id, ['error', '19', 'purchase'] AS w UNION ALL SELECT 'view click signup', ['view', 'click', 'signup']),

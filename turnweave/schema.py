@@ -1,6 +1,6 @@
 """Tables of the dialogue model and its controlled vocabularies.
 
-conversations(conv_id, source_id, corpus, corpus_ord, ordinal, title, meta)
+conversations(conv_id, source_id, corpus, corpus_ord, ordinal, title, meta: map<string, string>)
 turns(conv_id, pos, text, speaker, action, annotation, native_label)
 edges(conv_id, ord, source, target, type, provenance): the turn at `source` answers `target`
 """

@@ -19,23 +19,38 @@ CORPORA = ("molweni", "reddit", "cmv", "deli", "wildchat", "prism", "dailydialog
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON array of records per file."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """One JSON array of records per file, with each record's place in the input as `ordinal` (see `read_jsonl`)."""
+    return _placed(spark.read.schema(schema).json(path, multiLine=True))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One record per line, with its place in the input as `ordinal`.
 
-    Places order rows by (file, offset of the split, line in the split); they are unique and
-    increasing but not dense.
+    Places order rows by (file name, place in the file), however files are cut into tasks;
+    they are unique and increasing but not dense.
     """
-    place = F.monotonically_increasing_id()
-    return spark.read.schema(schema).json(path).withColumn("ordinal", place)
+    return _placed(spark.read.schema(schema).json(path))
 
 
-def _conversations(rows: DataFrame, corpus: str, title: str = "cast(NULL AS STRING)") -> DataFrame:
+def _placed(rows: DataFrame) -> DataFrame:
+    """A row's place is its file's rank, its split's offset and its number in the split; a record takes a byte, so splits do not run into each other."""
+    at = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    numbered = rows.select("*", *at).withColumn("__number", F.monotonically_increasing_id())
+    splits = numbered.groupBy("__file", "__start").agg(F.min("__number").alias("__first"))
+    files = splits.select("__file").distinct().withColumn("__rank", F.row_number().over(Window.orderBy("__file")))  # one row a file
+    splits = splits.join(files, "__file")
+    placed = numbered.join(splits, ["__file", "__start"])
+    return placed.select(*rows.columns, (F.col("__rank") * F.lit(1 << 44) + F.col("__start") + F.col("__number") - F.col("__first")).alias("ordinal"))
+
+
+def _conversations(rows: DataFrame, corpus: str, title: str = "cast(NULL AS STRING)", **meta: str) -> DataFrame:
+    """One row a conversation; `meta` holds the SQL of each entry, and entries that are null are left out."""
     order = CORPORA.index(corpus) if corpus in CORPORA else len(CORPORA)
-    return rows.selectExpr(f"concat('{corpus}:', cid) AS conv_id", "cid AS source_id", f"'{corpus}' AS corpus", f"{order} AS corpus_ord", "ordinal", f"{title} AS title")
+    pairs = ", ".join(f"'{k}', cast({v} AS STRING)" for k, v in meta.items())
+    held = f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)" if pairs else "map()"
+    return rows.selectExpr(
+        f"concat('{corpus}:', cid) AS conv_id", "cid AS source_id", f"'{corpus}' AS corpus", f"{order} AS corpus_ord", "ordinal", f"{title} AS title", f"cast({held} AS MAP<STRING, STRING>) AS meta"
+    )
 
 
 def _chain(turns: DataFrame) -> DataFrame:
@@ -58,7 +73,7 @@ def molweni(rows: DataFrame) -> Library:
         "CASE WHEN native_label IS NULL THEN 'unannotated' ELSE 'human-discourse' END AS annotation", "native_label",
     )
     edges = links.selectExpr("conv_id", "ord", "cast(r.y AS INT) AS source", "cast(r.x AS INT) AS target", "r.type AS type", "'human-discourse' AS provenance")
-    return Library(_conversations(keyed, "molweni"), turns, edges)
+    return Library(_conversations(keyed, "molweni", split="split", source_dialogue_id="id", order="'source-utterance'"), turns, edges)
 
 
 def reply_edges(rows: DataFrame) -> DataFrame:
@@ -68,13 +83,15 @@ def reply_edges(rows: DataFrame) -> DataFrame:
 
 
 def convokit(rows: DataFrame, corpus: str, metadata: DataFrame | None = None) -> Library:
-    """(id, conversation_id, root, speaker, user, text, reply_to, meta: map<string,string>, ordinal); corpus reddit, deli, cmv or chromium.
+    """(id, conversation_id, root, speaker, user, text, reply-to or reply_to, meta: map<string,string>, ordinal); corpus reddit, deli, cmv or chromium.
 
-    `metadata` is (cid, meta: map<string,string>) and supplies titles and the whitelisted keys.
+    `metadata` is (cid, meta: map<string,string>); its `META_KEYS` travel with the conversation
+    and its title is the conversation's.
     """
+    answered = [f"`{c}`" for c in ("reply-to", "reply_to") if c in rows.columns]
     base = rows.selectExpr(
         "coalesce(conversation_id, root) AS cid", "cast(id AS STRING) AS uid", "coalesce(speaker, user, 'unknown') AS speaker", "coalesce(text, '') AS text",
-        "reply_to AS parent", "meta", "ordinal",
+        f"coalesce({', '.join(answered)}) AS parent", "meta", "ordinal",
     )
     if corpus == "deli":
         base = base.where("meta['message_type'] = 'MESSAGE'")
@@ -95,10 +112,12 @@ def convokit(rows: DataFrame, corpus: str, metadata: DataFrame | None = None) ->
         human = linked.join(place, ["cid", "parent"]).where("target <> pos")
         edges = edges.union(human.selectExpr("cid", "pos * 2 + 1 AS ord", "pos AS source", "target", "'discourse' AS type", "'human-link' AS provenance"))
     heads = base.groupBy("cid").agg(F.min("ordinal").alias("ordinal"))
-    title = "cast(NULL AS STRING)"
-    if metadata is not None:
-        heads, title = heads.join(metadata, "cid", "left"), "meta['title']"
-    return Library(_conversations(heads, corpus, title), turns, edges.selectExpr(f"concat('{corpus}:', cid) AS conv_id", *EDGE[1:]))
+    if metadata is None:
+        convs = _conversations(heads, corpus, order="'source-file'")
+    else:
+        known = {k: f"meta['{k}']" for k in META_KEYS}
+        convs = _conversations(heads.join(metadata, "cid", "left"), corpus, known["title"], order="'source-file'", **known)
+    return Library(convs, turns, edges.selectExpr(f"concat('{corpus}:', cid) AS conv_id", *EDGE[1:]))
 
 
 META_KEYS = ("split", "summary_meta", "pair_id", "has_removed_comment", "team_performance", "performance_change", "title", "subreddit")
@@ -110,14 +129,20 @@ def kept_metadata(metadata: DataFrame) -> DataFrame:
 
 
 def wildchat(rows: DataFrame) -> Library:
-    """(conversation: array<struct<role, content>>, toxic, ordinal): no toxic ones, the first of equal transcripts."""
-    clean = rows.where("NOT toxic AND size(conversation) > 0")
+    """(conversation: array<struct<role, content>>, toxic, ordinal): the first of equal transcripts, without those marked toxic.
+
+    A null mark is no mark. Of the optional columns conversation_hash, model and language the
+    first transcript's values are kept as metadata.
+    """
+    clean = rows.where("NOT coalesce(toxic, false) AND size(conversation) > 0")
     hashed = clean.withColumn("digest", F.sha2(F.to_json(F.transform("conversation", lambda t: F.array(t["role"], t["content"])), {"ignoreNullFields": "false"}), 256))
-    first = hashed.groupBy("digest").agg(F.min_by("conversation", "ordinal").alias("conversation"), F.min("ordinal").alias("ordinal"))
+    known = {"source_hash": "conversation_hash", "model": "model", "language": "language"}
+    known = {k: c for k, c in known.items() if c in rows.columns}
+    first = hashed.groupBy("digest").agg(*[F.min_by(c, "ordinal").alias(c) for c in ("conversation", *known.values())], F.min("ordinal").alias("ordinal"))
     first = first.withColumn("cid", F.substring("digest", 1, 24))
     turns = first.select(F.concat(F.lit("wildchat:"), "cid").alias("conv_id"), F.posexplode("conversation").alias("pos", "t"))
     turns = turns.selectExpr("conv_id", "pos", "coalesce(t.content, '') AS text", "t.role AS speaker", "t.role AS action", "'source-role' AS annotation", "cast(NULL AS STRING) AS native_label")
-    return Library(_conversations(first, "wildchat"), turns, _chain(turns))
+    return Library(_conversations(first, "wildchat", order="'source-utterance'", **known), turns, _chain(turns))
 
 
 def prism(rows: DataFrame) -> tuple[Library, DataFrame]:
@@ -148,8 +173,9 @@ def prism(rows: DataFrame) -> tuple[Library, DataFrame]:
     answers = model.selectExpr("conv_id", "pos - 1 AS ord", "pos AS source", "pos - 1 AS target", "'prompt-response' AS type", "'observed-alternative' AS provenance")
     replies = said.where("role <> 'user'").join(rounds.select("cid", "round", "turn", (F.col("bad") == 1).alias("ambiguous")), ["cid", "round"])
     variants = replies.selectExpr(conv, "round", "turn", "content AS text", "model", "score", "chosen", "ambiguous", "at")
-    heads = rounds.select("cid").distinct().join(rows.select(F.col("conversation_id").alias("cid"), "ordinal"), "cid")
-    return Library(_conversations(heads, "prism"), turns, asks.union(answers)), variants
+    heads = rounds.groupBy("cid").agg(F.expr("min(round) FILTER (WHERE bad = 1)").alias("ambiguous")).join(rows.select(F.col("conversation_id").alias("cid"), "ordinal"), "cid")
+    convs = _conversations(heads, "prism", ambiguous_round="ambiguous", order="'unique-selected-path-until-ambiguity'")
+    return Library(convs, turns, asks.union(answers)), variants
 
 
 def daily(rows: DataFrame) -> Library:
@@ -160,7 +186,7 @@ def daily(rows: DataFrame) -> Library:
     turns = pairs.selectExpr(
         "conv_id", "pos", "u.utterances AS text", "concat('S', pos % 2 + 1) AS speaker", f"{map_action('cast(u.acts AS STRING)')} AS action", "'human-dialogue-act' AS annotation", "cast(u.acts AS STRING) AS native_label"
     )
-    return Library(_conversations(keyed, "dailydialog"), turns, _chain(turns))
+    return Library(_conversations(keyed, "dailydialog", split="'train'", speaker_assignment="'alternation-assumption'", order="'source-utterance'"), turns, _chain(turns))
 
 
 def demo(spark: SparkSession) -> tuple[Library, DataFrame]:
@@ -174,20 +200,20 @@ def demo(spark: SparkSession) -> tuple[Library, DataFrame]:
     turns, edges, convs = [], [], []
     for k, topic in enumerate(topics, 1):
         cid = f"synthetic:example-{k}"
-        convs.append((cid, f"example-{k}", "synthetic", len(CORPORA), k, f"Planning {topic}"))
+        convs.append((cid, f"example-{k}", "synthetic", len(CORPORA), k, f"Planning {topic}", {"order": "made-up"}))
         for pos, ((who, action, answers), line) in enumerate(zip(steps, lines, strict=True)):
             turns.append((cid, pos, line.format(topic), who, action, "synthetic-example", None))
             if answers:
                 edges.append((cid, pos - 1, pos, *answers, "synthetic-example"))
     cid = "synthetic_variants:example-1"
-    convs.append((cid, "example-1", "synthetic_variants", len(CORPORA) + 1, 5, "Two replies"))
+    convs.append((cid, "example-1", "synthetic_variants", len(CORPORA) + 1, 5, "Two replies", {"order": "made-up"}))
     for pos, text in enumerate(("Suggest a title.", "A Walk in Spring", "Something shorter?", "Spring")):
         turns.append((cid, pos, text, "human" if pos % 2 == 0 else "model", "user" if pos % 2 == 0 else "assistant", "synthetic-example", None))
         if pos:
             edges.append((cid, pos - 1, pos, pos - 1, "temporal", "chronological"))
     variants = [(cid, 0, 0, "A Walk in Spring", "model-a", 0.8, True, False, 1), (cid, 0, 0, "Green Paths", "model-b", 0.4, False, False, 2)]
     lib = Library(
-        spark.createDataFrame(convs, "conv_id string, source_id string, corpus string, corpus_ord int, ordinal long, title string"),
+        spark.createDataFrame(convs, "conv_id string, source_id string, corpus string, corpus_ord int, ordinal long, title string, meta map<string, string>"),
         spark.createDataFrame(turns, "conv_id string, pos int, text string, speaker string, action string, annotation string, native_label string"),
         spark.createDataFrame(edges, "conv_id string, ord int, source int, target int, type string, provenance string"),
     )

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from turnweave.schema import Library
 
 
+SPLIT = "map('split', CASE WHEN {} % 5 = 0 THEN 'test' ELSE 'train' END) AS meta"  # every fifth conversation is for testing
+
+
 def chat(conversations: DataFrame) -> Library:
     """Role-labelled chats: speaker and action are the role, every turn follows the one before."""
     turns = conversations.selectExpr(
@@ -17,7 +20,7 @@ def chat(conversations: DataFrame) -> Library:
     )
     edges = turns.where("pos > 0").selectExpr("conv_id", "pos - 1 AS ord", "pos AS source", "pos - 1 AS target", "'temporal' AS type", "'chronological' AS provenance")
     heads = conversations.select("conv_id").distinct()
-    convs = heads.selectExpr("concat('chat:', conv_id) AS conv_id", "cast(conv_id AS STRING) AS source_id", "'chat' AS corpus", "0 AS corpus_ord", "conv_id AS ordinal", "cast(NULL AS STRING) AS title")
+    convs = heads.selectExpr("concat('chat:', conv_id) AS conv_id", "cast(conv_id AS STRING) AS source_id", "'chat' AS corpus", "0 AS corpus_ord", "conv_id AS ordinal", "cast(NULL AS STRING) AS title", SPLIT.format("conv_id"))
     return Library(convs, turns, edges)
 
 
@@ -36,7 +39,7 @@ def threads(events: DataFrame, length: int, corpus: str, corpus_ord: int) -> Lib
     kind = "CASE action WHEN 'clarify' THEN 'Clarification_question' WHEN 'answer' THEN 'QAP' ELSE 'Comment' END AS type"
     edges = base.where("pos > 0").selectExpr("conv_id", "pos - 1 AS ord", "pos AS source", "target", kind, "'synthetic-example' AS provenance")
     convs = base.select("conv_id", "ordinal").distinct()
-    convs = convs.selectExpr("conv_id", "cast(ordinal AS STRING) AS source_id", f"'{corpus}' AS corpus", f"{corpus_ord} AS corpus_ord", "ordinal", "cast(NULL AS STRING) AS title")
+    convs = convs.selectExpr("conv_id", "cast(ordinal AS STRING) AS source_id", f"'{corpus}' AS corpus", f"{corpus_ord} AS corpus_ord", "ordinal", "cast(NULL AS STRING) AS title", SPLIT.format("ordinal"))
     return Library(convs, turns, edges)
 
 
