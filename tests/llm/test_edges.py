@@ -593,3 +593,13 @@ def merged(runs):
         else:
             out.append([r["pos"], r["end"]])
     return out
+
+
+def test_sieve_passes_every_partner(spark):
+    from turnweave.llm import sieve
+
+    held = spark.range(0, 4000, 7).select(F.xxhash64("id").alias("h")).union(spark.createDataFrame([(None,), (-1,), (2**63 - 1,), (-(2**63),)], "h long"))
+    rows = spark.range(4000).select("id", F.xxhash64("id").alias("h")).union(spark.createDataFrame([(-1, -1), (-2, 2**63 - 1), (-3, -(2**63)), (-4, None)], "id long, h long"))
+    passed = {r["id"] for r in sieve.sifted(rows, "h", sieve.sieve(held, "h")).collect()}
+    assert {i for i in range(0, 4000, 7)} | {-1, -2, -3} <= passed and len(passed) < 700 and -4 not in passed
+    assert sieve.sifted(rows, "h", sieve.sieve(held.limit(0), "h")).count() == 0

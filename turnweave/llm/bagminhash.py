@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 from turnweave.llm.bytewords import Words, mix, slices, times, with_columns
 from turnweave.llm.components import components
 from turnweave.llm.rowkeys import HASH, ID, with_key
-from turnweave.llm.storage import Workspace
+from turnweave.llm.sieve import marked, sieve, sifted
+from turnweave.llm.storage import Workspace, materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -237,13 +238,15 @@ def near_duplicates(
     buckets = nodes.select(F.explode("bands").alias("key"), "node", "n")
     heads = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
     heads = space.table(heads.select("key", "leader"), "heads")
-    members = space.table(buckets.join(heads, "key").where("node <> leader"), "members")
+    shared = space.table(sieve(heads, "key"), "shared-keys")  # most keys occur once; they do not enter the join
+    members = space.table(sifted(buckets, "key", shared).join(heads, "key").where("node <> leader"), "members")
 
     wanted = members.select("node").union(heads.select("leader")).distinct()
     wanted = wanted.join(nodes.select("node", F.col("head.id").alias("w_id"), F.col("head.hash").alias("w_hash")), "node")
     wanted = space.table(wanted, "wanted")
     found = docs.select(*with_key(docs, id_col, text_col), docs[text_col].alias("text"))
-    found = found.join(wanted, (found[HASH] == wanted["w_hash"]) & found[ID].eqNullSafe(wanted["w_id"]))
+    found = sifted(found, HASH, space.table(sieve(wanted, "w_hash"), "wanted-texts"))
+    found = found.join(wanted, (F.col(HASH) == F.col("w_hash")) & F.col(ID).eqNullSafe(F.col("w_id")))
     tokens = space.table(_tokens(found.select("node", "text").dropDuplicates(["node"]), size), "tokens")
 
     asked = members.select("leader", "node", "n").distinct().join(nodes.select(F.col("node").alias("leader"), F.col("n").alias("leader_n")), "leader")
@@ -271,17 +274,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     """The documents of `docs`, one of each class of near duplicates, with all their columns.
 
     The row with the smallest id stays; of rows repeated with the same id and text, one.
-    Keys that go, and kept keys that repeat, are the joins' other sides: texts are not
-    shuffled while these are few.
+    Only texts whose hash is, by a table of bits, perhaps that of a key that goes or repeats
+    enter a join; the others stay where they are read.
     """
     space = Workspace(docs.sparkSession, "bagminhash-keys")
     keys = near_duplicates(docs, id_col, text_col, **options).groupBy(F.col(ID).alias("__tw_k"), F.col(HASH).alias("__tw_h"))
     keys = keys.agg(F.first("kept").alias("kept"), F.count("*").alias("times")).where("not kept or times > 1")
     keys = space.result(keys)
-    keyed = docs.select("*", *with_key(docs, id_col, text_col))
+    keyed = marked(docs.select("*", *with_key(docs, id_col, text_col)), HASH, materialise(sieve(keys, "__tw_h"), "bagminhash-sieve"))
     same = (F.col(HASH) == F.col("__tw_h")) & F.col(ID).eqNullSafe(F.col("__tw_k"))
-    once = keyed.join(keys, same, "left_anti")
+    doubtful = keyed.where("__tw_met")
+    once = keyed.where("NOT __tw_met").unionByName(doubtful.join(keys, same, "left_anti"))
     repeated = keys.where("kept")
     if repeated.limit(1).count():
-        once = once.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates([ID, HASH]))
-    return once.drop(ID, HASH)
+        once = once.unionByName(doubtful.join(repeated, same, "left_semi").dropDuplicates([ID, HASH]))
+    return once.drop(ID, HASH, "__tw_met")
