@@ -24,15 +24,22 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
 
 
 def test_alignment_runs_after_the_shortlist(spark, sf_dir):
-    shown = plan(api.match(api.Collection(library(spark, sf_dir)), "threads:7", 0, 6))
-    assert 0 <= shown.index("MapInPandas") < shown.rindex("TakeOrderedAndProject")
-    assert "CartesianProduct" not in shown
+    c = api.Collection(library(spark, sf_dir))
+    found = api.match(c, "threads:7", 0, 6)
+    shown = plan(found)
+    assert shown.count("MapInArrow") == 1 and "TakeOrderedAndProject" in shown and "CartesianProduct" not in shown
+    assert all(r["candidates"] == api.CANDIDATES for r in found.collect())  # what the staged shortlist holds
+
+
+def test_queries_read_their_postings_only(spark, sf_dir):
+    shown = plan(api.search(api.Collection(library(spark, sf_dir)), "error purchase"))
+    assert "In(token, [error,purchase])" in shown
 
 
 def test_only_alignment_uses_python(spark, sf_dir):
     for name in ("features", "descriptors", "pair_census", "bm25", "motif3", "sw_best_raw", "corpus_stats", "tfidf"):
         shown = plan(catalogue.QUERIES[name](spark, sf_dir))
-        assert not re.search("InPandas|ArrowEval|BatchEval|CartesianProduct", shown), name
+        assert not re.search("InPandas|InArrow|ArrowEval|BatchEval|CartesianProduct", shown), name
 
 
 def test_episodes_need_no_range_join(spark, sf_dir):

@@ -233,7 +233,7 @@ def test_demo_matches(demo):
 def test_demo_override_changes_the_query_only(demo):
     rows = api.match(demo, "synthetic:example-1", 0, 6, corpus="synthetic", overrides={1: "question"}).collect()
     assert all(r["score"] < 1 for r in rows)
-    assert api.conversation(demo, "synthetic:example-1").collect()[1]["action"] == "clarify"
+    assert api.conversation(demo, "synthetic:example-1").first()["turns"][1]["action"] == "clarify"
 
 
 def test_demo_map_and_pairs(demo):

@@ -10,7 +10,7 @@ def test_molweni_file(spark, tmp_path):
     record = {"id": 7, "edus": [{"text": "hi", "speaker": "a"}, {"text": None, "speaker": "b"}, {"text": "yes", "speaker": "a"}], "relations": [{"x": 0, "y": 1, "type": "QAP"}, {"x": 0, "y": 1, "type": "Comment"}, {"x": 1, "y": 2, "type": "New_Kind"}]}
     (tmp_path / "train.json").write_text(json.dumps([record]))
     rows = adapters.read_json(spark, str(tmp_path / "train.json"), "id long, edus array<struct<text:string,speaker:string>>, relations array<struct<x:int,y:int,type:string>>")
-    lib = adapters.molweni(rows.selectExpr("'train' AS split", "*", "1L AS ordinal"))
+    lib = adapters.molweni(rows.selectExpr("'train' AS split", "*"))
     turns = {r["pos"]: r for r in lib.turns.collect()}
     assert [turns[i]["action"] for i in range(3)] == ["unknown", "comment", "new_kind"]  # the last relation of a turn names its action
     assert turns[0]["annotation"] == "unannotated" and turns[1]["text"] == "" and turns[1]["native_label"] == "Comment"

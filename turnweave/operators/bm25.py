@@ -2,7 +2,8 @@
 
 `exact` compares tokens; `phrase` splits tokens and query terms at underscores and matches
 runs of parts, also inside longer tokens, as a full-text engine whose tokenizer separates
-at underscores does. Postings are (doc, token, tf) rows; a query keeps its own terms only.
+at underscores does. Postings are (doc, token, tf, length) rows; a query keeps its own terms only. Sorted by token
+they are an index: a filter on terms reads the row groups that hold them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ def postings(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     return rows.groupBy("doc", "token", "length").agg(F.count("*").alias("tf"))
 
 
+def sorted_postings(docs: DataFrame, id_col: str = "doc", tokens_col: str = "tokens") -> DataFrame:
+    """Postings in the order of their tokens, to be written."""
+    return postings(docs, id_col, tokens_col).repartitionByRange("token", "doc").sortWithinPartitions("token", "doc")
+
+
 def collection(docs: DataFrame, tokens_col: str) -> DataFrame:
     """One row: number of documents and mean length."""
     return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens_col)).alias("mean_length"))
@@ -41,15 +47,20 @@ def _weigh(tf: Column, length: Column, df: Column, n: Column, mean: Column) -> C
 
 
 def score(docs: DataFrame, terms: DataFrame, id_col: str = "doc", tokens_col: str = "tokens") -> DataFrame:
-    """(query, doc, score) of every document that holds a term of (query, term); terms count once a query.
+    """(query, doc, score) of every document that holds a term of (query, term); terms count once a query."""
+    return score_postings(postings(docs, id_col, tokens_col), collection(docs, tokens_col), terms)
+
+
+def score_postings(index: DataFrame, totals: DataFrame, terms: DataFrame) -> DataFrame:
+    """`score` over postings and collection totals, computed at once or read from a table.
 
     Document frequencies are counted for the asked terms over all documents; the terms of
     the queries are the small side and the planner broadcasts them by their size.
     """
     terms = terms.select("query", F.col("term").alias("token")).distinct()
-    held = postings(docs, id_col, tokens_col).join(terms.select("token").distinct(), "token", "left_semi")
+    held = index.join(terms.select("token").distinct(), "token", "left_semi")
     df = held.groupBy("token").agg(F.count("*").alias("df"))
-    weighed = held.join(df, "token").crossJoin(F.broadcast(collection(docs, tokens_col)))  # one row
+    weighed = held.join(df, "token").crossJoin(F.broadcast(totals))  # one row
     weighed = weighed.select("doc", "token", _weigh(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("mean_length")).alias("w"))
     return weighed.join(terms, "token").groupBy("query", "doc").agg(F.sum("w").alias("score"))
 

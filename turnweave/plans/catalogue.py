@@ -183,7 +183,29 @@ def src_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.conversation(api.Collection(library(spark, sf_dir)), "threads:7").select(*adapters.TURN)
+    """A conversation's payload, one row a turn and an edge."""
+    whole = api.conversation(api.Collection(library(spark, sf_dir)), "threads:7").select("conv_id", "corpus", F.col("meta")["split"].alias("split"), "turns", "edges")
+    turns = whole.select("conv_id", "corpus", "split", F.lit("turn").alias("kind"), F.explode("turns").alias("x"))
+    turns = turns.select("conv_id", "corpus", "split", "kind", F.col("x.pos").alias("at"), F.col("x.speaker").alias("who"), F.col("x.action").alias("label"), F.col("x.text").alias("text"), F.lit(None).cast("int").alias("target"))
+    edges = whole.select("conv_id", "corpus", "split", F.lit("edge").alias("kind"), F.explode("edges").alias("x"))
+    edges = edges.select("conv_id", "corpus", "split", "kind", F.col("x.source").alias("at"), F.col("x.provenance").alias("who"), F.col("x.type").alias("label"), F.lit(None).cast("string").alias("text"), F.col("x.target").alias("target"))
+    return turns.unionByName(edges)
+
+
+@query
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collection's statistics as the service gives them, with names and first examples."""
+    found = api.stats(api.Collection(library(spark, sf_dir), names={"long": "Long threads"}))
+    return found.select("corpus", "name", "conversations", "episodes", F.array_join("example_ids", " ").alias("example_ids"))
+
+
+@query
+def atlas_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the map's summary says of counts, pairs and examples; the projection is tested on its own."""
+    found = api.atlas_summary(api.Collection(library(spark, sf_dir)))
+    top = F.transform(F.filter("pairs", lambda p: p["place"] <= 3), lambda p: F.concat_ws(":", p["corpus"], p["from_move"], p["to_move"], p["n"]))
+    shown = F.transform("example_episodes", lambda e: F.concat_ws(":", e["corpus"], e["episode_id"]))
+    return found.select("episodes", "source_records", F.array_join("corpora", " ").alias("corpora"), F.array_join(top, " ").alias("top_pairs"), F.array_join(shown, " ").alias("examples"), "synthetic")
 
 
 @query
@@ -722,7 +744,7 @@ def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = library(spark, sf_dir)
-    words = conversations.conversation_text(lib).selectExpr("conv_id AS id", "filter(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]{2,}', 0) AS words")
+    words = conversations.conversation_text(lib).selectExpr("conv_id AS id", "regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]{2,}', 0) AS words")
     asked = spark.createDataFrame([(q, q.lower().split()) for q in ("error 19 purchase", "view click signup")], "id string, words array<string>")
     return bm25.tfidf(words, asked).select("query", "doc", *_r6("score"))
 

@@ -127,7 +127,8 @@ ORACLES["variants_view"] = PRISM + """ SELECT 'prism:' || c AS conv_id, s.round,
 ORACLES["src_daily"] = f"""SELECT 'dailydialog:' || conv_id AS conv_id, turn::INT AS pos, text, 'S' || (turn % 2 + 1) AS speaker, coalesce({ACTION_MAP}[((conv_id + turn) % 5)::VARCHAR], 'unknown') AS action,
   'human-dialogue-act' AS annotation, ((conv_id + turn) % 5)::VARCHAR AS native_label FROM conversations"""
 ORACLES["src_meta"] = """SELECT c_custkey::VARCHAR AS cid, 'title' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'subreddit', c_mktsegment FROM customer"""
-ORACLES["scan_payload"] = LIB + "SELECT conv_id, pos, text, speaker, action, annotation, NULL::VARCHAR AS native_label FROM turns WHERE conv_id = 'threads:7'"
+ORACLES["scan_payload"] = LIB + """SELECT conv_id, 'threads' AS corpus, 'train' AS split, 'turn' AS kind, pos AS at, speaker AS who, action AS label, text, NULL::INT AS target FROM turns WHERE conv_id = 'threads:7'
+UNION ALL SELECT conv_id, 'threads', 'train', 'edge', source, provenance, type, NULL, target FROM edges WHERE conv_id = 'threads:7'"""
 
 STATS = (
     LIB
@@ -241,6 +242,16 @@ ORACLES["exact_dup"] = _DUP + " SELECT conv_id, digest FROM dg"
 ORACLES["j_anti_dup"] = _DUP + " SELECT conv_id FROM dg WHERE ordinal % 5 = 0 AND digest NOT IN (SELECT digest FROM dg WHERE ordinal % 5 <> 0)"
 ORACLES["j_semi"] = LIB + "SELECT conv_id, corpus FROM convs WHERE conv_id IN (SELECT conv_id FROM edges WHERE type = 'QAP')"
 
+ORACLES["stats"] = STATS + """, ex AS (SELECT corpus, string_agg(conv_id, ' ' ORDER BY ordinal) AS ids FROM (SELECT corpus, conv_id, ordinal, row_number() OVER (PARTITION BY corpus ORDER BY ordinal) AS k FROM convs JOIN gs USING (conv_id)
+  WHERE turns >= 4 AND nonadjacent >= 2 AND speakers >= 3) WHERE k <= 8 GROUP BY 1)
+SELECT corpus, CASE corpus WHEN 'long' THEN 'Long threads' ELSE corpus END AS name, conversations, episodes, coalesce(ids, '') AS example_ids FROM cst LEFT JOIN ex USING (corpus)"""
+ORACLES["atlas_summary"] = DESC + """, pc AS (SELECT corpus, from_move, to_move, n, row_number() OVER (PARTITION BY corpus ORDER BY n DESC, first) AS place
+  FROM (SELECT corpus, from_move, to_move, count(*) AS n, min(ROW(conv_id, start, ord)) AS first FROM prs GROUP BY 1, 2, 3)),
+fe AS (SELECT corpus, coalesce(max_by(episode_id, ROW(conv_id, start)) FILTER ((flags & 5) = 5 AND n <= 10), min_by(episode_id, ROW(conv_id, start))) AS episode_id FROM d GROUP BY 1)
+SELECT (SELECT count(*) FROM d) AS episodes, (SELECT count(DISTINCT conv_id) FROM d) AS source_records, (SELECT string_agg(DISTINCT corpus, ' ' ORDER BY corpus) FROM d) AS corpora,
+  (SELECT string_agg(corpus || ':' || from_move || ':' || to_move || ':' || n, ' ' ORDER BY corpus, place) FROM pc WHERE place <= 3) AS top_pairs,
+  (SELECT string_agg(corpus || ':' || episode_id, ' ' ORDER BY corpus) FROM fe) AS examples, false AS synthetic"""
+
 # --- Aggregations ------------------------------------------------------------------------
 
 ORACLES["graph_stats"] = LIB + "SELECT * FROM gs"

@@ -32,6 +32,7 @@ FIELDS = (
     "action_entropy", "mean_log_word_count", "lexical_recurrence",
 )
 WIDTH, STRIDE, MAX_WINDOWS, LEAST_TURNS = 12, 6, 64, 4
+VERSION = "2"  # of these tables
 
 
 @dataclass(frozen=True)
