@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnweave.functions import labels as L
-from turnweave.operators import align, atlas, bm25, conversations, describe, episodes, evaluate, graphs, motifs
+from turnweave.operators import align, atlas, bm25, cohort, conversations, describe, episodes, evaluate, graphs, motifs, sinks
 from turnweave.plans import api
-from turnweave.schema import Library
+from turnweave.schema import TRUSTED, Library
 from turnweave.sources import adapters
 
 TURNS = "conv_id string, pos int, text string, speaker string, action string, annotation string, native_label string"
@@ -222,7 +222,8 @@ def test_labels(spark):
 
 @pytest.fixture(scope="module")
 def demo(spark):
-    return api.Collection(adapters.demo(spark)[0])
+    made_up, variants = adapters.demo(spark)
+    return api.Collection(made_up, variants=variants, names={"synthetic": "Made-up discussions"})
 
 
 def test_demo_matches(demo):
@@ -297,3 +298,106 @@ def test_streamed_turns(spark, tmp_path):
     q.awaitTermination(120)
     last = spark.read.parquet(str(tmp_path / "out")).orderBy(F.desc("batch")).first()
     assert (last["turns"], last["last_pos"], last["speakers"]) == (6, 5, 2)
+
+
+def test_reach_is_strict(spark):
+    rows = spark.createDataFrame([(1, 0.5, 0.5)], "episode_id long, x double, y double")
+    jx, jy = cohort.jittered(rows).select("jx", "jy").first()
+    pointers = spark.createDataFrame([(1, jx * 1024 + 10.0, jy * 512), (2, jx * 1024 + 9.5, jy * 512)], "pointer int, qx double, qy double")
+    assert [r["pointer"] for r in cohort.nearest(rows, pointers, 1024.0, 512.0).collect()] == [2]
+
+
+def test_marks_are_folded_in_both_modes(spark):
+    docs = spark.createDataFrame([(1, ["a_caf\u00e9"]), (2, ["a_cafe"]), (3, ["a_other"])], "doc int, tokens array<string>")
+    assert {r["doc"] for r in bm25.score_phrases(docs, ["CAF\u00c9"]).collect()} == {1, 2}
+    x = lib(spark, [("A", "a", "Un caf\u00e9 noir")] * 4, [])
+    assert api.search(api.Collection(x), "CAFE").count() == 1 and api.search(api.Collection(x), "caf\u00c9s").count() == 0
+    assert L.plain("\u1ec7\u00df\u00d1") == "\u1ec7\u00dfn"  # a letter under two marks stays
+
+
+def test_payloads_are_whole(demo):
+    found = api.match(demo, "synthetic:example-1", 0, 6, corpus="synthetic").collect()
+    assert all(len(r["episode"]["turns"]) == 6 and len(r["episode"]["edges"]) == 5 for r in found)
+    assert all(r["candidates"] == 3 and r["query"]["conv_id"] == "synthetic:example-1" and len(r["query"]["turns"]) == 6 for r in found)
+    row = api.conversation(demo, "synthetic_variants:example-1").first()
+    assert [v["text"] for v in row["variants"]] == ["A Walk in Spring", "Green Paths"] and len(row["edges"]) == 3 and row["meta"] == {"order": "made-up"}
+    stats = {r["corpus"]: r for r in api.stats(demo).collect()}
+    assert stats["synthetic"]["name"] == "Made-up discussions" and len(stats["synthetic"]["example_ids"]) == 4 and stats["synthetic_variants"]["example_ids"] == []
+    assert api.build_record(demo).first()["stride"] == 6
+    summary = api.atlas_summary(demo).first()
+    assert summary["synthetic"] and summary["episodes"] == 5 and len(summary["coordinate_min"]) == 2 and summary["pairs"][0]["corpus"] == "synthetic"
+    assert api.atlas_episode(demo, 1).first()["episode_id"] == 1
+
+
+def test_slices_refuse_empty_ranges(spark):
+    x = lib(spark, F1_TURNS, [])
+    for bad in ((-1, 2), (2, 2), (3, 1)):
+        with pytest.raises(ValueError):
+            episodes.slice_conversation(x, "c:1", *bad)
+
+
+def test_exports_carry_comparisons(spark, demo):
+    import json
+
+    found = api.match(demo, "synthetic:example-1", 0, 6, corpus="synthetic", limit=1).select("conv_id", "start", "stop", "score")
+    text = sinks.evidence_json(episodes.slice_conversation(demo.library, "synthetic:example-1", 0, 6), None, found).first()["json"]
+    assert json.loads(text)["comparison"]["score"] == 1.0
+    picked = demo.described.where("corpus = 'synthetic'")
+    lines = [json.loads(r["json"]) for r in sinks.cohort_json(picked, cohort.metrics(picked), {"a": "b"}, cohort.metrics(demo.described)).collect()]
+    assert len(lines) == 4 and all(x["metrics"]["n"] == 4 and x["pinned"]["n"] == 5 for x in lines)
+
+
+def test_map_equals_a_plain_projection(spark, sf_dir):
+    import numpy as np
+
+    from turnweave.schema import FIELDS
+    from turnweave.sources.synthetic import library
+
+    c = api.Collection(library(spark, sf_dir))
+    rows, p = c.atlas
+    held = rows.orderBy("episode_id").collect()
+    x = np.array([[r[f] for f in FIELDS] for r in held])
+    scale = np.where(x.std(axis=0) < 1e-12, 1, x.std(axis=0))
+    z = (x - x.mean(axis=0)) / scale
+    _, s, axes = np.linalg.svd(z, full_matrices=False)
+    for k in (0, 1):
+        axis = axes[k] * np.sign(axes[k][np.abs(axes[k]).argmax()])
+        assert np.allclose(axis, p.loadings[k], atol=1e-6)
+        place = z @ axis
+        place = (place - place.min()) / (place.max() - place.min())
+        assert np.allclose(place, [r["xy"[k]] for r in held], atol=2e-6)
+    assert np.allclose((s**2 / (s**2).sum())[:2], p.explained)
+    top = atlas.top_loadings(spark, p).where("component = 1").orderBy("place").collect()
+    order = np.argsort(-np.abs(p.loadings[0]), kind="stable")[:5]
+    assert [r["field"] for r in top] == [FIELDS[i] for i in order]
+    drawn = {r["episode_id"]: r for r in api.atlas_points(c).collect()}
+    corpora = sorted({r["corpus"] for r in held})
+    assert all((drawn[r["episode_id"]]["pc1"], drawn[r["episode_id"]]["corpus_index"], drawn[r["episode_id"]]["motif_flags"]) == (r["x"], corpora.index(r["corpus"]), r["flags"]) for r in held)
+
+
+def test_match_equals_plain_python(spark, sf_dir):
+    """Shortlist, alignment and choice of one episode a conversation, by hand."""
+    from turnweave.sources.synthetic import library
+
+    c = api.Collection(library(spark, sf_dir))
+    for conv_id, start, stop, corpus, changed in (("threads:7", 0, 6, "", {}), ("threads:7", 0, 6, "threads", {1: "question"}), ("long:3", 6, 18, "long", {})):
+        found = api.match(c, conv_id, start, stop, corpus=corpus, limit=20, overrides=changed).collect()
+        asked = found[0]["query"]
+        rows = {r["episode_id"]: r for r in c.episodes.collect()}
+        turns = [(changed.get(t["pos"], t["action"]), t["speaker"]) for t in asked["turns"]]
+        assert [t["action"] for t in asked["turns"]] == [a for a, _ in turns]
+        own = ([a for a, _ in turns], [s for _, s in turns], [(e["source"], e["target"], e["type"]) for e in asked["edges"] if e["provenance"] in TRUSTED])
+        terms = set(episodes.with_tokens(episodes.slice_conversation(c.library, conv_id, start, stop, conversations.overlay(c.library.turns.where(F.col("conv_id") == conv_id), spark.createDataFrame(list(changed.items()) or [(-1, "x")], "turn int, action string")))).first()["tokens"])
+        bags = {i: r["tokens"] for i, r in rows.items()}
+        mean = sum(map(len, bags.values())) / len(bags)
+        df = {t: sum(t in set(b) for b in bags.values()) for t in terms}
+        weight = {t: max(math.log((len(bags) - k + 0.5) / (k + 0.5)), 1e-6) if math.log((len(bags) - k + 0.5) / (k + 0.5)) > 0 else 1e-6 for t, k in df.items() if k}
+        score = {i: sum(w * b.count(t) * 2.2 / (b.count(t) + 1.2 * (0.25 + 0.75 * len(b) / mean)) for t, w in weight.items()) for i, b in bags.items()}
+        pool = [i for i, b in bags.items() if terms & set(b) and rows[i]["conv_id"] != conv_id and (not corpus or rows[i]["corpus"] == corpus)]
+        short = sorted(pool, key=lambda i: (-round(score[i], 6), i))[:120]
+        sides = [([t["action"] for t in rows[i]["turns"]], [t["speaker"] for t in rows[i]["turns"]], [(e["source"], e["target"], e["type"]) for e in rows[i]["trusted"]]) for i in short]
+        best = {}
+        for i, a in sorted(zip(short, align_rows([(own, s) for s in sides]), strict=True), key=lambda x: -x[1]["score"]):
+            best.setdefault(rows[i]["conv_id"], (a["score"], i))
+        assert [r["episode_id"] for r in found] == [i for _, i in sorted(best.values(), key=lambda x: (-x[0], short.index(x[1])))[:20]]
+        assert all(r["candidates"] == len(short) and [t["pos"] for t in r["episode"]["turns"]] == [t["pos"] for t in rows[r["episode_id"]]["turns"]] for r in found)

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from turnweave.operators import conversations, episodes, sinks
 from turnweave.sources import adapters
 
@@ -62,3 +64,50 @@ def test_index_round_trip_prunes_by_corpus(spark, tmp_path):
     assert read.turns.count() == lib.turns.count() and again.count() == eps.count() and stats.count() == 2
     plan = read.conversations.where("corpus = 'synthetic'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(corpus" in plan
+
+
+def test_reply_key_with_a_dash_and_metadata(spark, tmp_path):
+    lines = [{"id": "u1", "conversation_id": "c", "speaker": "x", "text": "first"}, {"id": "u2", "conversation_id": "c", "speaker": "y", "text": "second", "reply-to": "u1"}]
+    (tmp_path / "utterances.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    rows = adapters.read_jsonl(spark, str(tmp_path / "utterances.jsonl"), UTTERANCE.replace("reply_to", "`reply-to`"))
+    known = spark.createDataFrame([("c", {"title": "A title", "split": "test", "secret": "x"})], "cid string, meta map<string,string>")
+    lib = adapters.convokit(rows, "cmv", known)
+    assert [(e["source"], e["target"]) for e in lib.edges.collect()] == [(1, 0)]
+    head = lib.conversations.first()
+    assert head["title"] == "A title" and head["meta"] == {"title": "A title", "split": "test", "order": "source-file"}
+    assert adapters.convokit(rows, "cmv").conversations.first()["meta"] == {"order": "source-file"}
+
+
+def test_places_follow_file_names_and_lines(spark, tmp_path):
+    for name, start in (("b", 300), ("a", 0)):  # the later name is the larger file, which readers take first
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"n": start + i, "pad": "x" * (i % 40 + start)}) + "\n" for i in range(300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        found = adapters.read_jsonl(spark, str(tmp_path), "n long").orderBy("ordinal").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["n"] for r in found] == list(range(600)) and len({r["ordinal"] for r in found}) == 600
+
+
+def test_a_null_mark_is_no_mark(spark):
+    said = "conversation array<struct<role:string,content:string>>, toxic boolean, ordinal long, model string"
+    rows = [([("user", "a"), ("assistant", "b")], None, 1, "m1"), ([("user", "c")], True, 2, "m2"), ([("user", "a"), ("assistant", "b")], False, 3, "m3")]
+    lib = adapters.wildchat(spark.createDataFrame(rows, said))
+    (head,) = lib.conversations.collect()
+    assert head["ordinal"] == 1 and head["meta"] == {"model": "m1", "order": "source-utterance"} and lib.turns.count() == 2
+
+
+def test_a_broken_write_leaves_the_installed_index(spark, tmp_path, monkeypatch):
+    lib, _ = adapters.demo(spark)
+    eps, path = episodes.windows(lib), (tmp_path / "index").as_uri()
+    sinks.write_index(lib, eps, conversations.corpus_stats(lib, eps), path)
+    installed = sinks.current(spark, path)
+    monkeypatch.setattr(sinks, "_install", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        sinks.write_index(lib, eps, conversations.corpus_stats(lib, eps), path)
+    assert sinks.current(spark, path) == installed and sinks.read_index(spark, path)[0].turns.count() == 28
+    sinks.prune(spark, path)
+    assert len(list((tmp_path / "index" / "versions").iterdir())) == 1
+    with pytest.raises(LookupError):
+        sinks.read_index(spark, (tmp_path / "nothing").as_uri())

@@ -610,7 +610,7 @@ def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pca_atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scaled descriptors' mean products: what the map's components follow from."""
+    """Every episode's place on the map."""
     return atlas.build(sinks.staged(_described(spark, sf_dir)))[0].select("episode_id", "corpus", "x", "y")
 
 

@@ -43,7 +43,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     return placed.select(*rows.columns, (F.col("__rank") * F.lit(1 << 44) + F.col("__start") + F.col("__number") - F.col("__first")).alias("ordinal"))
 
 
-def _conversations(rows: DataFrame, corpus: str, title: str = "cast(NULL AS STRING)", **meta: str) -> DataFrame:
+def _conversations(rows: DataFrame, corpus: str, title: str = "cast(NULL AS STRING)", /, **meta: str) -> DataFrame:
     """One row a conversation; `meta` holds the SQL of each entry, and entries that are null are left out."""
     order = CORPORA.index(corpus) if corpus in CORPORA else len(CORPORA)
     pairs = ", ".join(f"'{k}', cast({v} AS STRING)" for k, v in meta.items())
