@@ -59,8 +59,7 @@ def statistics(words: Words) -> np.ndarray:
     line_doc = np.searchsorted(words.offsets, start, side="right") - 1
     lines = np.bincount(line_doc, minlength=n) if n else np.zeros(0, int)
     hashes = words.hashes()
-    same = np.flatnonzero(words.doc[1:] == words.doc[:-1])
-    pairs = words.shingles(2) if len(same) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    pairs = words.shingles(2)
 
     def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct values of each text and the number of its most frequent one."""
