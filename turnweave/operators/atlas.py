@@ -75,7 +75,7 @@ def points(atlas: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     corpora = atlas.select("corpus").distinct().select("corpus", (F.row_number().over(Window.orderBy("corpus")) - 1).alias("corpus_index"))
-    joined = atlas.join(F.broadcast(corpora), "corpus")  # one row a corpus
+    joined = atlas.join(corpora, "corpus")  # one row a corpus: broadcast by its size
     names = {"x": "pc1", "y": "pc2", "turn_count": "turns", "switch": "switch_rate", "reach": "mean_target_span", "flags": "motif_flags", "edge_count": "eligible_edges", "nonadjacent": "nonadjacent_edges", "known": "known_action_fraction"}
     return joined.select("episode_id", *[F.col(a).alias(names.get(a, a)) for a in ("x", "y", "corpus_index", "turn_count", "speakers", "switch", "reach", "flags", "edge_count", "nonadjacent", "known")])
 

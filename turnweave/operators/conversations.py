@@ -105,8 +105,8 @@ def matching(lib: Library, rows: DataFrame, corpus: str = "", motif: str = "", v
 
 
 def overlay(turns: DataFrame, overrides: DataFrame) -> DataFrame:
-    """`turns` with the actions of `overrides` (turn, action; at most 50 rows, hence the broadcast); the source stays as it is."""
-    changed = F.broadcast(overrides.select(F.col("turn").alias("o_turn"), F.col("action").alias("o_action")))
+    """`turns` with the actions of `overrides` (turn, action); the source stays as it is."""
+    changed = overrides.select(F.col("turn").alias("o_turn"), F.col("action").alias("o_action"))
     joined = turns.join(changed, turns["pos"] == F.col("o_turn"), "left")
     return joined.withColumn("annotation", F.when(F.col("o_turn").isNotNull(), F.lit("user-overlay")).otherwise(F.col("annotation"))).withColumn(
         "action", F.coalesce("o_action", "action")

@@ -126,6 +126,12 @@ UNION ALL SELECT 'prism:' || c, turn + 1, answer, 'model', 'assistant' FROM p WH
 ORACLES["variants_view"] = PRISM + """ SELECT 'prism:' || c AS conv_id, s.round, p.turn, s.content AS text, s.model, s.score, s.chosen, p.good <> 1 AS ambiguous FROM s JOIN p USING (c, round) WHERE k <> 0"""
 ORACLES["src_daily"] = f"""SELECT 'dailydialog:' || conv_id AS conv_id, turn::INT AS pos, text, 'S' || (turn % 2 + 1) AS speaker, coalesce({ACTION_MAP}[((conv_id + turn) % 5)::VARCHAR], 'unknown') AS action,
   'human-dialogue-act' AS annotation, ((conv_id + turn) % 5)::VARCHAR AS native_label FROM conversations"""
+ORACLES["src_demo"] = """WITH topic AS (SELECT * FROM (VALUES (1, 'a garden path'), (2, 'a bus route'), (3, 'a reading room'), (4, 'a bread recipe')) v(k, topic)),
+step AS (SELECT * FROM (VALUES (0, 'S1', 'question', 'How should we plan ', '?'), (1, 'S2', 'clarify', 'Which part of ', ' do you mean?'), (2, 'S3', 'comment', 'I once saw ', ' done well.'),
+  (3, 'S1', 'answer', 'The first part of ', '.'), (4, 'S2', 'propose', 'Then let us sketch ', ' together.'), (5, 'S1', 'acknowledge', 'Good, that settles ', '.')) v(pos, speaker, action, before, after)),
+reply AS (SELECT * FROM (VALUES (0, 'human', 'user', 'Suggest a title.'), (1, 'model', 'assistant', 'A Walk in Spring'), (2, 'human', 'user', 'Something shorter?'), (3, 'model', 'assistant', 'Spring')) v(pos, speaker, action, text))
+SELECT 'synthetic:example-' || k AS conv_id, pos, before || topic || after AS text, speaker, action, 'synthetic-example' AS annotation, NULL::VARCHAR AS native_label FROM topic CROSS JOIN step
+UNION ALL SELECT 'synthetic_variants:example-1', pos, text, speaker, action, 'synthetic-example', NULL FROM reply"""
 ORACLES["src_meta"] = """SELECT c_custkey::VARCHAR AS cid, 'title' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'subreddit', c_mktsegment FROM customer"""
 ORACLES["scan_payload"] = LIB + """SELECT conv_id, 'threads' AS corpus, 'train' AS split, 'turn' AS kind, pos AS at, speaker AS who, action AS label, text, NULL::INT AS target FROM turns WHERE conv_id = 'threads:7'
 UNION ALL SELECT conv_id, 'threads', 'train', 'edge', source, provenance, type, NULL, target FROM edges WHERE conv_id = 'threads:7'"""

@@ -17,7 +17,7 @@ def turn_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
 
 
 def running_counts(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns, last_pos, actions): updated as turns arrive, late ones included."""
+    """(conv_id, turns, last_pos, speakers): updated as turns arrive, late ones included; speakers are an approximate distinct count."""
     return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("pos").alias("last_pos"), F.approx_count_distinct("speaker").alias("speakers"))
 
 
