@@ -582,7 +582,18 @@ def test_decontamination(spark, docs, none):
     cut = {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs, items, remove="spans").where("doc_id is not null").collect()}
     assert words(cut[0]) == BASE.split()[:5] + BASE.split()[40:] and cut[7].startswith("Licensed")
     assert decontam.report(none, items).count() == 0 and decontam.report(docs, items.limit(0)).where("runs is not null").count() == 0
-    assert decontam.decontaminate(docs, items, broadcast_bytes=0).count() == clean.count()
+
+
+def test_windows_that_share_a_key_are_verified(spark):
+    """A document run with the four hashed words of a window and another word elsewhere is no hit."""
+    item = [f"i{k}" for k in range(10)]
+    near = [w if k in (0, 3, 6, 9) else f"other{k}" for k, w in enumerate(item)]
+    rows = [(1, " ".join(["pre", *near, "post"])), (2, " ".join(["pre", *item, "post"])), (2, " ".join(["pre", *item, "post"])), (None, " ".join(item))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = sorted(((r[ID], [tuple(x) for x in r["runs"] or []], r["items"]) for r in decontam.report(docs, items).collect()), key=str)
+    assert found == sorted([(1, [], None), (2, [(1, 11)], ["7"]), (2, [(1, 11)], ["7"]), (None, [(0, 10)], ["7"])], key=str)
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, items).collect()] == [1]
 
 
 def merged(runs):
