@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnweave.llm.components import components
-from turnweave.llm.storage import materialise
+from turnweave.llm.storage import Workspace
 
 THRESHOLD = 0.98
 CELL_MAX = 8192
@@ -331,20 +331,20 @@ def _tile(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat([own, pd.DataFrame({"node": node[met], "own": False, "n_links": 0, "root": node[root[met]], "recall": 1.0})])
 
 
-def _tiled(nodes: DataFrame, cell_max: int, threshold: float, tile: int) -> DataFrame:
+def _tiled(nodes: DataFrame, cell_max: int, threshold: float, tile: int, space: Workspace) -> DataFrame:
     """The results of `_tile` for all large labels; a cell's own nodes and all its nodes are dealt to tiles of about `tile` x `tile`."""
     cell = ["label", "dim", "cell"]
-    placed = materialise(_placed(nodes, cell_max, threshold), "vecgraph-cells")
+    placed = space.table(_placed(nodes, cell_max, threshold), "cells")
     parts = lambda n: F.ceil(n / F.lit(tile)).cast("int")
     sizes = placed.groupBy(*cell).agg(parts(F.count_if("own")).alias("parts_a"), parts(F.count("*")).alias("parts_b")).where("parts_a > 0")
-    dealt = placed.join(materialise(sizes, "vecgraph-tiles"), cell)
+    dealt = placed.join(space.table(sizes, "tiles"), cell)
     a, b = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(f"parts_{k}")).cast("int") for k in "ab")
     all_of = lambda k: F.explode(F.sequence(F.lit(0), F.col(f"parts_{k}") - 1))
     left = dealt.where("own").select("node", *cell, a.alias("a"), all_of("b").alias("b"), F.lit(True).alias("left"))
     right = dealt.select("node", *cell, all_of("a").alias("a"), b.alias("b"), F.lit(False).alias("left"))
     rows = left.unionByName(right).join(nodes.select("node", "vector", "copies"), "node")
     schema = "node long, own boolean, n_links long, root long, recall double"
-    found = materialise(rows.groupBy(*cell, "a", "b").applyInPandas(lambda pdf: _tile(pdf, threshold), schema), "vecgraph-tiled")
+    found = space.table(rows.groupBy(*cell, "a", "b").applyInPandas(lambda pdf: _tile(pdf, threshold), schema), "tiled")
     counted = found.where("own").groupBy("node").agg(F.sum("n_links").alias("n_links")).join(nodes.select("node", "copies"), "node")
     own = counted.select("node", F.lit(True).alias("own"), (F.col("n_links") + F.col("copies") - 1).alias("n_links"), F.col("node").alias("root"), F.lit(1.0).alias("recall"))
     return own.unionByName(found.where("node <> root").withColumn("own", F.lit(False)))
@@ -357,21 +357,22 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     usable = F.col("label").isNotNull() & F.coalesce(_valid(F.col("vector")), F.lit(False))
     rows = rows.withColumn("node", F.when(usable, F.xxhash64("label", "vector")))
     nodes = rows.where("node is not null").groupBy("label", "vector", "node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
-    nodes = materialise(nodes.withColumn("dim", F.size("vector")), "vecgraph-nodes")
-    large = materialise(nodes.groupBy("label", "dim").count().where(F.col("count") > cell_max).select("label", "dim"), "vecgraph-large")
+    space = Workspace(vectors.sparkSession, "vecgraph")
+    nodes = space.table(nodes.withColumn("dim", F.size("vector")), "nodes")
+    large = space.table(nodes.groupBy("label", "dim").count().where(F.col("count") > cell_max).select("label", "dim"), "large")
     slim = nodes.select("node", "label", "dim", "vector", "copies").withColumn("own", F.lit(True))
     some_large = large.limit(1).count() > 0
     small = slim.join(large, ["label", "dim"], "left_anti") if some_large else slim
     schema = "node long, own boolean, n_links long, root long, recall double"
     linked = small.groupBy("label", "dim").applyInPandas(lambda pdf: _cell(pdf, threshold), schema)
     if some_large:
-        linked = linked.unionByName(_tiled(slim.drop("own").join(large, ["label", "dim"], "left_semi"), cell_max, threshold, tile))
-    linked = materialise(linked, "vecgraph-links")
-    joined = components(linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        linked = linked.unionByName(_tiled(slim.drop("own").join(large, ["label", "dim"], "left_semi"), cell_max, threshold, tile, space))
+    linked = space.table(linked, "links")
+    joined = components(linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), space)
     ids = nodes.select("node", "least_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
     results = ids.join(least, "component").join(linked.where("own"), "node").select("node", "component_id", "n_links", "recall")
-    results = materialise(results, "vecgraph-results").withColumnRenamed("node", "r_node")
+    results = space.result(results).withColumnRenamed("node", "r_node")
     out = rows.select("vec_id", "node").join(results, F.col("node") == F.col("r_node"), "left")
     component = F.when(F.col("r_node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select(
