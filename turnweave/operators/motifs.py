@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnweave.functions.labels import single_spaced, stripped, trusted
 from turnweave.operators.graphs import components
+from turnweave.operators.sinks import delete_folder, new_folder, staged
 from turnweave.schema import Library
 
 SEED = 577
+#: Characters an utterance has at least.
+LEAST = 20
+#: A set is cut into at most so many subsets of one size; sets of more than SMALL utterances are not cut.
+SUBSETS, SMALL = 50, 64
+#: Rows of a staged table that may be broadcast.
+BROADCAST = 200_000
 
 
 def motifs(lib: Library) -> DataFrame:
@@ -49,43 +60,117 @@ def motif_queries(found: DataFrame, index: DataFrame, least: int = 2, most: int
     return chosen.orderBy(F.xxhash64(F.lit(seed), "conv_id")).limit(limit)
 
 
-def utterances(turns: DataFrame, least: int = 20) -> DataFrame:
+def utterances(turns: DataFrame, least: int = LEAST) -> DataFrame:
     """(conv_id, utterance): distinct single-spaced lower-case texts of `least` characters or more without outer white space."""
     return turns.where(F.length(stripped(F.col("text"))) >= least).select("conv_id", single_spaced(F.lower("text")).alias("utterance")).distinct()
 
 
-def similar_conversations(turns: DataFrame, shared: int = 4, part: float = 0.8) -> DataFrame:
-    """(a, b): conversations that share at least `shared` utterances and `part` of the smaller set.
+def utterance_sets(turns: DataFrame, least: int) -> DataFrame:
+    """(conv_id, s, n, x, y): hashes of a conversation's `n` distinct utterances where there are `least` or more; x and y name the set."""
+    own = turns.where(F.length(stripped(F.col("text"))) >= LEAST).groupBy("conv_id")
+    sets = own.agg(F.array_sort(F.collect_set(F.xxhash64(single_spaced(F.lower("text"))))).alias("s")).where(F.size("s") >= least)
+    return sets.select("conv_id", "s", F.size("s").alias("n"), *name("s"))
+
+
+def name(utterances: str, x: str = "0L", y: str = "0L") -> list:
+    """128 bits (x, y) that name a set: those of another set where `utterances` are put in or left out, which are the same in exclusive or."""
+    return [F.expr(f"aggregate({utterances}, {x}, (a, v) -> a ^ v)").alias("x"), F.expr(f"aggregate({utterances}, {y}, (a, v) -> a ^ xxhash64(v))").alias("y")]
+
+
+def needed(n: int, shared: int, part: float) -> int:
+    """How many utterances a set of `n` and one at least as large must share."""
+    return max(shared, math.ceil(part * n))
+
+
+def cuts(sizes: list[int], shared: int, part: float) -> tuple[list[tuple], dict[int, int]]:
+    """Rows (n, own, places) of what to leave out of sets of `n` in turn, and by size up to which size its partners are found by that.
 
-    An utterance of very many conversations is compared with the smallest of them only
-    when it stands alone, so conversations are first grouped by equal utterance sets, and
-    the equi-join runs over one representative of each set.
+    Own rows leave as many utterances as a set of `n` itself needs, others as many as a smaller one that occurs needs.
     """
-    own = utterances(turns)
-    sets = own.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.xxhash64("utterance"))).alias("s"), F.count("*").alias("n"))
-    sets = sets.withColumn("set_hash", F.xxhash64("s", "n"))
-    heads = sets.groupBy("set_hash").agg(F.min("conv_id").alias("head"), F.first("n").alias("n"))
-    same = sets.join(heads.select("set_hash", "head"), "set_hash").where(f"n >= {shared} AND conv_id <> head").select(F.col("head").alias("a"), F.col("conv_id").alias("b"))
-    listed = own.join(heads.where(f"n >= {shared}").select(F.col("head").alias("conv_id"), "n"), "conv_id")
-    # prefix filter: in a global order by frequency, two sets that share `part` of the smaller one share a word among its first n - need + 1
-    freq = listed.groupBy("utterance").agg(F.count("*").alias("f"))
-    ranked = listed.join(freq, "utterance").withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("f", "utterance")))
+    rows, reach = [], {}
+    for n in sizes:
+        k = needed(n, shared, part)
+        reach[n] = max((m for m in range(n, SMALL + 1) if math.comb(m, k) <= SUBSETS), default=n - 1)
+    for n in sizes:
+        for k in {needed(m, shared, part) for m in sizes if m <= n <= reach[m]}:
+            rows += [(n, k == needed(n, shared, part), list(c)) for c in itertools.combinations(range(n), n - k)]
+    return rows, reach
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A staged table, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def links(heads: DataFrame, folder: str, shared: int = 4, part: float = 0.8) -> DataFrame:
+    """(a, b): ids of different sets (id, s, n, x, y) that share at least `shared` utterances and `part` of the smaller one; whoever is linked by all such pairs is linked by these.
+
+    Of sets that hold the same k utterances, the smallest is linked with each of them if k is
+    what it needs, which is what all their pairs come to. So sets of few utterances meet by their subsets of k, rows grow
+    with the sets and no pairs are compared. Sets with too many subsets meet by an equi-join:
+    a set must share one of its n - k + 1 rarest utterances.
+    """
+    spark = heads.sparkSession
+    held = sorted(r["n"] for r in heads.select(F.least("n", F.lit(SMALL + 1)).alias("n")).distinct().collect())
+    rows, reach = cuts([n for n in held if n <= SMALL], shared, part)
+    found = [] if not rows else [_by_subsets(heads, F.broadcast(spark.createDataFrame(rows, "n int, own boolean, places array<int>")), folder)]
+    far = {n: m for n, m in reach.items() if m < held[-1]}
+    if far or held[-1:] == [SMALL + 1]:
+        found.append(_by_rarest(heads, far, folder, shared, part))
+    return functools.reduce(DataFrame.union, found, spark.createDataFrame([], "a long, b long"))
+
+
+def _by_subsets(heads: DataFrame, cut: DataFrame, folder: str) -> DataFrame:
+    """(a, b): each set and the smallest that needs no more than the subset both hold."""
+    held = heads.join(cut, "n").select("id", "n", "own", *name("transform(places, i -> s[i])", "x", "y"))
+    # one long that orders by size, then id, so that the minimum needs no sort
+    own = held.where("own").groupBy("x", "y").agg(F.min(F.expr("shiftleft(cast(n AS BIGINT), 56) | id")).alias("code"), F.count("*").alias("c"))
+    guested = cut.where("NOT own").select((F.col("n") - F.size("places")).alias("k")).distinct()
+    own = own.withColumns({"n": F.shiftright("code", 56).cast("int"), "a": F.expr(f"code & {2**56 - 1}L")})
+    sized = cut.where("own").select("n", (F.col("n") - F.size("places")).alias("k")).distinct().join(guested.withColumn("guests", F.lit(True)), "k", "left")
+    centres = staged(own.join(F.broadcast(sized), "n").where("c > 1 OR guests").select("x", "y", "a", "c", "guests"), folder)
+    among = held.where("own").join(few(centres.where("c > 1")), ["x", "y"])
+    guests = held.where("NOT own").join(few(centres.where("guests")), ["x", "y"])
+    return among.select("a", F.col("id").alias("b")).union(guests.select("a", F.col("id").alias("b"))).where("a <> b")
+
+
+def _by_rarest(heads: DataFrame, far: dict[int, int], folder: str, shared: int, part: float) -> DataFrame:
+    """(a, b): pairs of a set and one larger than `far` says for its size, or for sizes above SMALL any that is as large."""
+    spark = heads.sparkSession
     need = F.greatest(F.lit(shared), F.ceil(F.lit(part) * F.col("n"))).cast("int")
-    probe = ranked.where(F.col("r") <= F.col("n") - need + 1).select("utterance", F.col("conv_id").alias("a"), F.col("n").alias("a_n"))
-    there = ranked.select("utterance", F.col("conv_id").alias("b"), F.col("n").alias("b_n"))
-    candidates = probe.join(there, "utterance").where("a <> b AND (a_n < b_n OR (a_n = b_n AND a < b))").select("a", "b", "a_n").distinct()
-    left = listed.select(F.col("conv_id").alias("a"), "utterance")
-    right = listed.select(F.col("conv_id").alias("b"), "utterance")
-    counted = candidates.join(left, "a").join(right, ["b", "utterance"]).groupBy("a", "b", "a_n").agg(F.count("*").alias("common"))
-    close = counted.where((F.col("common") >= shared) & (F.col("common") >= part * F.col("a_n"))).select("a", "b")
-    return close.union(same)
-
-
-def families(turns: DataFrame) -> DataFrame:
-    """(conv_id, family): the smallest conversation of each family of near-duplicate conversations."""
-    linked = components(similar_conversations(turns))
-    every = turns.select("conv_id").distinct()
-    return every.join(linked.withColumnRenamed("node", "conv_id"), "conv_id", "left").select("conv_id", F.coalesce("component", "conv_id").alias("family"))
+    table = F.broadcast(spark.createDataFrame(list(far.items()), "n int, far int"))
+    asked = heads.join(table, "n", "left").where(f"far IS NOT NULL OR n > {SMALL}")
+    asked = staged(asked.select("id", "s", "n", F.coalesce("far", F.col("n") - 1).alias("far"), need.alias("need")), folder)
+    there = heads.where(F.col("n") > min([SMALL, *far.values()])).select("id", "n", F.explode("s").alias("u"))
+    terms = staged(asked.select(F.explode("s").alias("u")).distinct(), folder)
+    freq = staged(there.join(few(terms), "u").groupBy("u").agg(F.count("*").alias("f")), folder)
+    spread = asked.select("id", "n", "far", "need", F.explode("s").alias("u")).join(freq, "u", "left")
+    ranked = spread.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("f", F.lit(0)), "u")))
+    probe = staged(ranked.where("r <= n - need + 1 AND f IS NOT NULL").select("u", F.col("id").alias("a"), F.col("n").alias("a_n"), "far"), folder)
+    met = few(probe).join(there.select("u", F.col("id").alias("b"), F.col("n").alias("b_n")), "u").where("b_n > far AND (a_n < b_n OR a < b)")
+    pairs = staged(met.select("a", "b").distinct(), folder)
+    pairs = pairs.join(asked.select(F.col("id").alias("a"), F.col("s").alias("a_s"), "need"), "a")
+    pairs = pairs.join(heads.select(F.col("id").alias("b"), F.col("s").alias("b_s")), "b")
+    return pairs.where("size(array_intersect(a_s, b_s)) >= need").select("a", "b")
+
+
+def families(turns: DataFrame, shared: int = 4, part: float = 0.8) -> DataFrame:
+    """(conv_id, family): the smallest conversation of each family of near-duplicate conversations.
+
+    Conversations are similar if they share at least `shared` utterances and `part` of the smaller
+    set. Equal sets are one node of the graph. Utterances are compared by 64 bits of hash, sets and subsets by 128.
+    """
+    folder = new_folder(turns.sparkSession)
+    sets = staged(utterance_sets(turns, shared), folder)
+    heads = sets.groupBy("x", "y").agg(F.min("conv_id").alias("conv_id"), F.first("s").alias("s"), F.first("n").alias("n"))
+    heads = staged(heads.withColumn("id", F.monotonically_increasing_id()), folder)
+    linked = components(links(heads, folder, shared, part), folder).withColumnRenamed("node", "id")
+    least = linked.join(heads.select("id", "conv_id"), "id").groupBy("component").agg(F.min("conv_id").alias("family"))
+    named = heads.join(linked.join(least, "component"), "id", "left").select("x", "y", F.coalesce("family", "conv_id").alias("family"))
+    every = turns.select("conv_id").distinct().join(sets.join(named, ["x", "y"]).select("conv_id", "family"), "conv_id", "left")
+    found = staged(every.select("conv_id", F.coalesce("family", "conv_id").alias("family")))
+    delete_folder(turns.sparkSession, folder)
+    return found
 
 
 def family_filter(turns: DataFrame, split: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from turnweave.schema import Library
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; a local default only where the session names none."""
@@ -18,11 +20,26 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or "file:///tmp/turnweave-shared").rstrip("/") + "/dialogue"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """`df` written to shared storage and read back."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """`df` written to shared storage, in `folder` if one is given, and read back; Spark is told to remove the shuffle files of the write."""
+    spark = df.sparkSession
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else new_folder(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    _, target, fs = _hadoop(spark, path)
+    fs.delete(target, True)
 
 
 def _hadoop(spark: SparkSession, path: str):
