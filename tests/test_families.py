@@ -80,3 +80,47 @@ def test_frequent_utterances_make_no_pairs(spark):
     records = shuffled_records(spark, lambda: found.update({x["conv_id"]: x["family"] for x in motifs.families(turns).collect()}))
     assert found == by_all_pairs(sets)
     assert records < 60 * len(sets)
+
+
+def shuffled_bytes(spark, run):
+    """Bytes that `run` writes to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        gateway = spark.sparkContext._gateway
+        found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    run()
+    return sum(n for stage, n in stages().items() if stage not in before)
+
+
+def test_sets_without_partners_are_shuffled_once(spark):
+    """Only the making of the sets moves their utterances; subsets that one set holds are counted by a few bytes."""
+    r = random.Random(7)
+    sets = {f"c:{i:05d}": {f"an utterance at place {p} of kind {r.randrange(40)}" for p in range(9)} for i in range(6000)}
+    sets["c:06000"], sets["c:06001"], sets["c:06002"] = set(sorted(sets["c:00003"])[1:]), sets["c:00005"], set(sorted(sets["c:00007"])[3:])
+    turns = turns_of(spark, sets).localCheckpoint()
+    found = {}
+    moved = shuffled_bytes(spark, lambda: found.update({x["conv_id"]: x["family"] for x in motifs.families(turns).collect()}))
+    assert {c: f for c, f in found.items() if c != f} == {"c:06000": "c:00003", "c:06001": "c:00005", "c:06002": "c:00007"}
+    assert len(found) == len(sets)
+    assert moved < 230 * len(sets)  # measured: 150
+
+
+@pytest.mark.parametrize("broadcast, short", [(0, 40), (200_000, 4)])
+def test_families_by_other_paths(spark, monkeypatch, broadcast, short):
+    """Nothing broadcast and no subset counted first, or so few bits that subsets clash: the same families."""
+    monkeypatch.setattr(motifs, "BROADCAST", broadcast)
+    monkeypatch.setattr(motifs, "SHORT", short, raising=False)
+    r = random.Random(11)
+    pool = [f"this is utterance number {i} of all" for i in range(24)]
+    sets = {}
+    for i in range(120):
+        fresh = not sets or r.random() < 0.5
+        sets[f"c:{i:03d}"] = set(r.sample(pool, r.randint(0, 12))) if fresh else changed(r, sets, pool)
+    sets |= {f"c:{i + 120:03d}": sets[f"c:{i:03d}"] for i in range(0, 120, 3)}
+    found = {x["conv_id"]: x["family"] for x in motifs.families(turns_of(spark, sets)).collect()}
+    assert found == by_all_pairs(sets)

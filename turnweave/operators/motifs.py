@@ -21,6 +21,8 @@ LEAST = 20
 SUBSETS, SMALL = 50, 64
 #: Rows of a staged table that may be broadcast.
 BROADCAST = 200_000
+#: Bits by which subsets are counted before they are named by 128.
+SHORT = 40
 
 
 def motifs(lib: Library) -> DataFrame:
@@ -66,10 +68,9 @@ def utterances(turns: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def utterance_sets(turns: DataFrame, least: int) -> DataFrame:
-    """(conv_id, s, n, x, y): hashes of a conversation's `n` distinct utterances where there are `least` or more; x and y name the set."""
+    """(conv_id, s): hashes of a conversation's distinct utterances where there are `least` or more."""
     own = turns.where(F.length(stripped(F.col("text"))) >= LEAST).groupBy("conv_id")
-    sets = own.agg(F.array_sort(F.collect_set(F.xxhash64(single_spaced(F.lower("text"))))).alias("s")).where(F.size("s") >= least)
-    return sets.select("conv_id", "s", F.size("s").alias("n"), *name("s"))
+    return own.agg(F.array_sort(F.collect_set(F.xxhash64(single_spaced(F.lower("text"))))).alias("s")).where(F.size("s") >= least)
 
 
 def name(utterances: str, x: str = "0L", y: str = "0L") -> list:
@@ -123,11 +124,18 @@ def links(heads: DataFrame, folder: str, shared: int = 4, part: float = 0.8) ->
 def _by_subsets(heads: DataFrame, cut: DataFrame, folder: str) -> DataFrame:
     """(a, b): each set and the smallest that needs no more than the subset both hold."""
     held = heads.join(cut, "n").select("id", "n", "own", *name("transform(places, i -> s[i])", "x", "y"))
-    # one long that orders by size, then id, so that the minimum needs no sort
-    own = held.where("own").groupBy("x", "y").agg(F.min(F.expr("shiftleft(cast(n AS BIGINT), 56) | id")).alias("code"), F.count("*").alias("c"))
     guested = cut.where("NOT own").select((F.col("n") - F.size("places")).alias("k")).distinct()
-    own = own.withColumns({"n": F.shiftright("code", 56).cast("int"), "a": F.expr(f"code & {2**56 - 1}L")})
     sized = cut.where("own").select("n", (F.col("n") - F.size("places")).alias("k")).distinct().join(guested.withColumn("guests", F.lit(True)), "k", "left")
+    # most subsets have one holder: SHORT bits of each are counted first, and only those that then occur twice or can have guests are named in full
+    short = F.shiftright("x", 64 - SHORT)
+    twice = staged(held.where("own").groupBy(short.alias("short")).agg(F.count("*").alias("c")).where("c > 1").select("short"), folder)
+    own = held.where("own")
+    if twice.count() <= BROADCAST:
+        hosts = F.broadcast(sized.where("guests").select("n", F.lit(True).alias("host")))
+        own = own.withColumn("short", short).join(F.broadcast(twice.withColumn("again", F.lit(True))), "short", "left").join(hosts, "n", "left").where("again OR host")
+    # one long that orders by size, then id, so that the minimum needs no sort
+    own = own.groupBy("x", "y").agg(F.min(F.expr("shiftleft(cast(n AS BIGINT), 56) | id")).alias("code"), F.count("*").alias("c"))
+    own = own.withColumns({"n": F.shiftright("code", 56).cast("int"), "a": F.expr(f"code & {2**56 - 1}L")})
     centres = staged(own.join(F.broadcast(sized), "n").where("c > 1 OR guests").select("x", "y", "a", "c", "guests"), folder)
     among = held.where("own").join(few(centres.where("c > 1")), ["x", "y"])
     guests = held.where("NOT own").join(few(centres.where("guests")), ["x", "y"])
@@ -150,7 +158,8 @@ def _by_rarest(heads: DataFrame, far: dict[int, int], folder: str, shared: int,
     met = few(probe).join(there.select("u", F.col("id").alias("b"), F.col("n").alias("b_n")), "u").where("b_n > far AND (a_n < b_n OR a < b)")
     pairs = staged(met.select("a", "b").distinct(), folder)
     pairs = pairs.join(asked.select(F.col("id").alias("a"), F.col("s").alias("a_s"), "need"), "a")
-    pairs = pairs.join(heads.select(F.col("id").alias("b"), F.col("s").alias("b_s")), "b")
+    met = staged(pairs.select("b").distinct(), folder)
+    pairs = pairs.join(heads.select(F.col("id").alias("b"), F.col("s").alias("b_s")).join(few(met), "b", "left_semi"), "b")
     return pairs.where("size(array_intersect(a_s, b_s)) >= need").select("a", "b")
 
 
@@ -161,13 +170,22 @@ def families(turns: DataFrame, shared: int = 4, part: float = 0.8) -> DataFrame:
     set. Equal sets are one node of the graph. Utterances are compared by 64 bits of hash, sets and subsets by 128.
     """
     folder = new_folder(turns.sparkSession)
-    sets = staged(utterance_sets(turns, shared), folder)
-    heads = sets.groupBy("x", "y").agg(F.min("conv_id").alias("conv_id"), F.first("s").alias("s"), F.first("n").alias("n"))
-    heads = staged(heads.withColumn("id", F.monotonically_increasing_id()), folder)
+    stored = staged(utterance_sets(turns, shared).withColumn("id", F.monotonically_increasing_id()), folder)
+    sets = stored.select("id", "s", F.size("s").alias("n"), *name("s"))  # names are made anew at each reading, not stored
+    equal = staged(sets.groupBy("x", "y").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c"), folder)
+    copies = staged(sets.select("id", "x", "y").join(few(equal), ["x", "y"]).where("id <> head").select("id", "head"), folder)
+    heads = sets.join(few(copies), "id", "left_anti")
+    if copies.count() > BROADCAST:
+        heads = staged(heads, folder)
     linked = components(links(heads, folder, shared, part), folder).withColumnRenamed("node", "id")
-    least = linked.join(heads.select("id", "conv_id"), "id").groupBy("component").agg(F.min("conv_id").alias("family"))
-    named = heads.join(linked.join(least, "component"), "id", "left").select("x", "y", F.coalesce("family", "conv_id").alias("family"))
-    every = turns.select("conv_id").distinct().join(sets.join(named, ["x", "y"]).select("conv_id", "family"), "conv_id", "left")
+    # whoever is not alone: linked sets, then sets that have copies and the copies, by the component of the set or else the set itself
+    alike = copies.select("head", "id").union(copies.select("head", F.col("head").alias("id")).distinct())
+    alike = alike.join(linked.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("component", "head").alias("component"))
+    members = staged(linked.union(alike).distinct(), folder)
+    members = staged(stored.select("id", "conv_id").join(few(members), "id").select("conv_id", "component"), folder)
+    least = staged(members.groupBy("component").agg(F.min("conv_id").alias("family")), folder)
+    named = staged(members.join(few(least), "component").select("conv_id", "family"), folder)
+    every = turns.select("conv_id").distinct().join(few(named), "conv_id", "left")
     found = staged(every.select("conv_id", F.coalesce("family", "conv_id").alias("family")))
     delete_folder(turns.sparkSession, folder)
     return found
