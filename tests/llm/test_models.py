@@ -1,9 +1,12 @@
 """Scores of the two models against plain Python, one text at a time."""
 
 import math
+import random
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +116,19 @@ def test_held_out_labels_change_nothing(tables, module, label):
     flipped = labels.withColumn(label, F.when(id_remainder(F.col("doc_id"), modulus) == held, 1 - F.col(label)).otherwise(F.col(label)))
     one, two = (module.train_model(docs, x) for x in (labels, flipped))
     assert all(np.array_equal(vars(one)[k], vars(two)[k]) for k in vars(one))
+
+
+def test_fit_holds_little_memory_and_slices_change_nothing(monkeypatch):
+    draw = random.Random(3)
+    kinds = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(draw.choices(kinds, k=1000)) + (" vile slurry" if i % 4 == 0 else "") for i in range(400)]
+    train = pd.DataFrame({"text": texts, "y": [int(i % 4 == 0) for i in range(400)]})
+    tracemalloc.start()
+    model = toxicity.fit(train, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights.any()
+    assert peak / 400_000 < 150, "bytes a word: the driver holds a whole sample's arrays at once"
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 1)  # a text a slice
+    other = toxicity.fit(train, rounds=2)
+    assert (model.weights == other.weights).all() and model.bias == other.bias and (model.moves == other.moves).all() and (model.last == other.last).all()

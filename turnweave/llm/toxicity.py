@@ -35,6 +35,7 @@ THRESHOLD = 0.7
 HOLD_OUT = (3, 1)  # rows with crc32(doc_id) mod 3 = 1 are never learnt from
 MIN_DOCS, MIN_SHARE = 3, 0.6
 ROUNDS = 40
+SLICE_BYTES = 1 << 18  # of training texts whose features are held at once
 
 
 @dataclass
@@ -55,13 +56,11 @@ class _Places:
     n_docs: int
 
 
-def _featured(texts: pd.Series) -> tuple[_Places, np.ndarray]:
-    """Places and features of the words of `texts`, made slice by slice."""
-    doc, count, feats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(PREFIXES)), np.int32)]
-    for start, _, held in chunks(texts, 1 << 20):
+def _featured(texts: pd.Series) -> Iterator[tuple[int, Words, np.ndarray]]:
+    """(first document, words, features) slice by slice; all features at once would be eight numbers a word."""
+    for start, _, held in chunks(texts, SLICE_BYTES):
         words = Words(held)
-        doc.append(words.doc + start), count.append(words.count), feats.append(features(words))
-    return _Places(np.concatenate(doc), np.concatenate(count), len(texts)), np.concatenate(feats)
+        yield start, words, features(words)
 
 
 def features(words: Words) -> np.ndarray:
@@ -137,22 +136,48 @@ def _marginals(emit: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> tuple[n
     return p, counts
 
 
-def _induced(words: Words | _Places, feats: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Word labels from document labels: 1 where a feature is far more common in toxic documents."""
-    n_toxic, n_clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for column in feats.T:  # one kind of feature at a time keeps the pairs of (document, feature) small
-        pairs = np.unique(words.doc * BUCKETS + column)
-        doc, bucket = pairs // BUCKETS, pairs % BUCKETS
-        n_toxic += np.bincount(bucket, weights=toxic[doc], minlength=BUCKETS)
-        n_clean += np.bincount(bucket, weights=1 - toxic[doc], minlength=BUCKETS)
-    n = n_toxic + n_clean
-    share, prior = n_toxic / np.maximum(n, 1), toxic.mean()
+def _telling(texts: pd.Series, toxic: np.ndarray) -> np.ndarray:
+    """(BUCKETS,) whether a feature is far more common in toxic documents."""
+    n_toxic, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for start, words, feats in _featured(texts):  # a document lies in one slice
+        for column in feats.T:  # one kind of feature at a time keeps the pairs of (document, feature) small
+            pairs = np.unique(words.doc * BUCKETS + column)
+            bucket = pairs % BUCKETS
+            np.add.at(n_toxic, bucket, toxic[pairs // BUCKETS + start])
+            np.add.at(n, bucket, 1)
+    seen = np.flatnonzero(n)
+    n_toxic, n = n_toxic[seen], n[seen]
+    share, prior = n_toxic / n, toxic.mean()
     # Chernoff's bound on such a share by chance, for as many features as were seen
     with np.errstate(divide="ignore", invalid="ignore"):
         surprise = n * (share * np.log(share / prior) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - prior)), 0))
-    telling = (n_toxic >= MIN_DOCS) & (share >= MIN_SHARE) & (np.nan_to_num(surprise) >= np.log((n > 0).sum() + 1))
+    telling = np.zeros(BUCKETS, bool)
+    telling[seen] = (n_toxic >= MIN_DOCS) & (share >= MIN_SHARE) & (np.nan_to_num(surprise) >= np.log(len(seen) + 1))
     telling[0] = False
-    return telling[feats].any(axis=1) & (toxic[words.doc] == 1)
+    return telling
+
+
+def _induced(texts: pd.Series, toxic: np.ndarray) -> tuple[_Places, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and labels of all words, the buckets of all features of words of label 1, and where these occur.
+
+    A word of a toxic document has label 1 where a feature of it is telling. Occurrences are
+    (word, index of the bucket); of all other features nothing is kept.
+    """
+    telling, known = _telling(texts, toxic), np.zeros(BUCKETS, bool)
+    doc, count, y = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for start, words, feats in _featured(texts):
+        hot = telling[feats].any(axis=1) & (toxic[words.doc + start] == 1)
+        known[feats[hot]] = True
+        doc.append((words.doc + start).astype(np.int32)), count.append(words.count), y.append(hot)
+    known[0] = False
+    places = _Places(np.concatenate(doc), np.concatenate(count), len(texts))
+    bucket = np.flatnonzero(known)
+    word_i, bucket_i, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for _, words, feats in _featured(texts):
+        word, kind = np.nonzero(known[feats])
+        word_i.append(word + before), bucket_i.append(np.searchsorted(bucket, feats[word, kind]))
+        before += len(feats)
+    return places, np.concatenate(y), bucket, np.concatenate(word_i), np.concatenate(bucket_i)
 
 
 def _summary(words: Words | _Places, p: np.ndarray) -> np.ndarray:
@@ -181,34 +206,34 @@ def fit(train: pd.DataFrame, rounds: int = ROUNDS) -> Model:
     model = Model(np.zeros(BUCKETS, np.float64), -4.0, np.zeros((2, 2)), np.array([np.log((prior + 1e-4) / (1 - prior + 1e-4)), 0, 0, 0, 0.0]), prior)
     if prior in (0.0, 1.0) or not len(toxic):
         return model
-    words, feats = _featured(train["text"])
-    y = _induced(words, feats, toxic).astype(float)
-    known = np.zeros(BUCKETS, bool)  # other features keep weight 0
-    known[feats[y == 1]] = True
-    known[0] = False
-    used = known[feats]
+    words, y, bucket, word_i, bucket_i = _induced(train["text"], toxic)
     y_m, mask, flat = _chains(words, y)
     pairs = np.zeros((2, 2))
     real = mask[:, 1:]
     for a in (0, 1):
         for b in (0, 1):
             pairs[a, b] = ((y_m[:, :-1] == a) & (y_m[:, 1:] == b) & real).sum()
-    word_i, col_i = np.nonzero(used)
-    bucket_i = feats[word_i, col_i]
-    count = np.maximum(np.bincount(bucket_i, minlength=BUCKETS), 1)
-    step_w, step_b, step_m = np.zeros(BUCKETS), 0.0, np.zeros((2, 2))
-    for _ in range(rounds):
-        emit, _, _ = _chains(words, model.bias + np.bincount(word_i, weights=model.weights[bucket_i], minlength=len(y)))
-        p_m, expected = marginals(emit, mask, model.moves)
-        error = y - p_m.reshape(-1)[flat]
-        step_w = 0.7 * step_w + np.bincount(bucket_i, weights=error[word_i], minlength=BUCKETS) / count - 0.002 * model.weights
+    emit, weights = y_m, np.zeros(len(bucket))  # other features keep weight 0
+    count = np.maximum(np.bincount(bucket_i, minlength=len(bucket)), 1)
+    step_w, step_b, step_m = np.zeros(len(bucket)), 0.0, np.zeros((2, 2))
+    for left in range(rounds, -1, -1):
+        held = model.bias + np.bincount(word_i, weights=weights[bucket_i], minlength=len(y))
+        emit.reshape(-1)[flat] = held
+        del held  # of arrays with a number a word, only those in use are held
+        p, expected = marginals(emit, mask, model.moves)
+        p = p.reshape(-1)[flat]
+        if not left:
+            break
+        error = np.subtract(y, p, out=p)
+        step_w = 0.7 * step_w + np.bincount(bucket_i, weights=error[word_i], minlength=len(bucket)) / count - 0.002 * weights
         step_b = 0.7 * step_b + error.mean() * 4
         step_m = 0.7 * step_m + (pairs - expected) / len(y) * 4
-        model.weights += step_w
+        del error, p
+        weights += step_w
         model.bias += step_b
         model.moves += step_m
-    emit, _, _ = _chains(words, model.bias + np.bincount(word_i, weights=model.weights[bucket_i], minlength=len(y)))
-    x = _summary(words, marginals(emit, mask, model.moves)[0].reshape(-1)[flat])
+    model.weights[bucket] = weights
+    x = _summary(words, p)
     model.last = _logistic(x, toxic)
     return model
 
